@@ -52,7 +52,8 @@ class WordHashes(dict):
             self.clear()
             self.table = bytearray()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.frombuffer(bytes(self.table), np.uint64).reshape(-1, 2)[at].T
+        # a view, gone before the table grows again; the indexing copies
+        return np.frombuffer(self.table, np.uint64).reshape(-1, 2)[at].T
 
 
 def _rolling(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
