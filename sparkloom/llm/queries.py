@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmltext, packing, quality, simhash, substring, tokencount, toxicity, warc
+from . import ann, decontam, htmltext, packing, quality, simhash, substring, tokencount, toxicity, warc
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_nearest, op4_substring_dedup, op5_warc, op6_token_counts, op7_quality, op8_packing, op9_html_text)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_nearest, op4_substring_dedup, op5_warc, op6_token_counts, op7_quality, op8_packing, op9_html_text, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
