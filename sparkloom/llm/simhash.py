@@ -1,7 +1,7 @@
 """SimHash near-duplicates: segment-popcount embedding, grid range join, exact check.
 
 1. A document's 64-bit fingerprint is the bitwise majority of its shingles' XXH64 values.
-2. A fingerprint's embedding is the vector of bit counts of its 16 segments of 4 bits. A differing
+2. A fingerprint's embedding is the vector of bit counts of its 32 segments of 2 bits. A differing
    bit moves one count by at most one, so the Manhattan distance of two embeddings is a lower bound
    of the fingerprints' Hamming distance.
 3. Grid range join: integer points within Manhattan distance 2 share a point within distance 1 of
@@ -29,7 +29,7 @@ from .components import connected_components
 
 #: Shingles hashed at a time, which bounds memory for very long texts.
 CHUNK = 1 << 16
-SEGMENTS, SEGMENT_BITS = 16, 4
+SEGMENTS = 32
 
 
 def fingerprint(text: bytes, words_in_shingle: int = 3, seed: int = 42) -> int:
@@ -52,10 +52,9 @@ def fingerprint(text: bytes, words_in_shingle: int = 3, seed: int = 42) -> int:
 
 
 def embedding(fingerprints: np.ndarray) -> np.ndarray:
-    """Bit counts of the 16 segments, each in 4 bits of one word."""
+    """Bit counts (0 to 2) of the 32 segments, each in 2 bits of one word."""
     x = fingerprints.astype(np.uint64)
-    x = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
-    return (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    return x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -69,17 +68,16 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3, seed: int = 42) ->
     return map_arrow(id_text(docs), run, "doc_id long, fp long, cell long")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _cells(nodes: DataFrame) -> DataFrame:
-    """(at, fp): each embedding at its own cell and at every cell at distance one."""
-    steps = F.array(*[F.lit(1 << (SEGMENT_BITS * i)) for i in range(SEGMENTS)])
-    digits = F.array(*[F.shiftrightunsigned("cell", SEGMENT_BITS * i).bitwiseAND(F.lit(15)) for i in range(SEGMENTS)])
-    around = F.flatten(
-        F.array(
-            F.array("cell"),
-            F.transform(F.filter(F.arrays_zip(steps.alias("s"), digits.alias("d")), lambda x: x["d"] < SEGMENT_BITS), lambda x: F.col("cell") + x["s"]),
-            F.transform(F.filter(F.arrays_zip(steps.alias("s"), digits.alias("d")), lambda x: x["d"] > 0), lambda x: F.col("cell") - x["s"]),
-        )
-    )
+    """(at, fp, node): each embedding at its own cell and at every cell at distance one."""
+    steps = F.array(*[F.struct(F.lit(2 * i).alias("i"), F.lit(_signed(1 << 2 * i)).cast("long").alias("one"), F.lit(_signed(3 << 2 * i)).cast("long").alias("both")) for i in range(SEGMENTS)])
+    low = F.filter(steps, lambda s: F.call_function("getbit", F.col("cell"), s["i"] + 1) == 0)  # 0 <-> 1
+    high = F.filter(steps, lambda s: (F.call_function("getbit", F.col("cell"), s["i"] + 1) == 1) | (F.call_function("getbit", F.col("cell"), s["i"]) == 1))  # 1 <-> 2
+    around = F.concat(F.array("cell"), F.transform(low, lambda s: F.col("cell").bitwiseXOR(s["one"])), F.transform(high, lambda s: F.col("cell").bitwiseXOR(s["both"])))
     return nodes.select(F.explode(around).alias("at"), "fp", "node")
 
 
@@ -97,7 +95,7 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     cells = _cells(nodes)
     shared = cells.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at")
     near = cells.join(shared, "at", "left_semi").select("fp", "node").distinct()
-    bits = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
+    bits = F.array(*[F.lit(_signed(1 << i)).cast("long") for i in range(64)])
     words = near.select("node", F.explode(F.concat(F.array("fp"), F.transform(bits, lambda b: F.col("fp").bitwiseXOR(b)))).alias("word"), "fp")
     if max_bits == 1:  # only the words that are one of the two fingerprints themselves
         own = near.select(F.col("fp").alias("word"), F.col("node").alias("dst"))
