@@ -31,7 +31,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAME = re.compile(r"[a-z]+|[0-9]+")
 #: A new element of the first kind ends an open one of the second kind that nothing of the third kind encloses.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-PATHS, WORDS, COUNTS = 512, 512, 6
+PATHS, WORDS, COUNTS = 2048, 512, 6
 
 
 @dataclass
@@ -143,7 +143,7 @@ HIDDEN, INPUT = 20, 32
 
 def initial(seed: int) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    p = {"e": r.normal(0, 0.1, (PATHS + WORDS, INPUT)), "c": r.normal(0, 0.3, (COUNTS, INPUT)), "o": r.normal(0, 0.2, (2 * HIDDEN + INPUT, 1)), "ob": np.zeros(1)}
+    p = {"e": r.normal(0, 0.05, (PATHS + WORDS, INPUT)), "c": r.normal(0, 0.3, (COUNTS, INPUT)), "o": r.normal(0, 0.2, (2 * HIDDEN + INPUT, 1)), "ob": np.zeros(1)}
     for way in "fb":
         p |= {f"w{way}": r.normal(0, INPUT**-0.5, (INPUT, 4 * HIDDEN)), f"u{way}": r.normal(0, HIDDEN**-0.5, (HIDDEN, 4 * HIDDEN)), f"b{way}": np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)}
     return p
@@ -247,7 +247,7 @@ def predict(p: dict[str, np.ndarray], pages: list[list[Block]], words: Words) ->
     return out
 
 
-def train(pages: int = 700, rounds: int = 5, seed: int = 7, rate: float = 0.01) -> dict[str, np.ndarray]:
+def train(pages: int = 900, rounds: int = 6, seed: int = 7, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Adam on composed pages."""
     p, words = initial(seed), Words()
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -355,7 +355,7 @@ def training_page(r: np.random.Generator) -> tuple[list[Block], list[bool]]:
 
     def foot() -> str:
         text = pick(f"&copy; {_composed_words(r, 1)[0]}.example.net &middot; {_prose(r, 2, 15)}", _furniture(r, FOOTER, 3, 15), f"&copy; 20{r.integers(10, 25)} {_furniture(r, FOOTER, 2, 8)}")
-        return pick(f"<footer>{no}{text}</footer>", f"<footer><p>{no}{text}</p></footer>", f"<div{named('footer', 'copyright', 'bottom', 'colophon')}><p>{no}{text}</p></div>")
+        return pick(f"<footer>{no}{text}</footer>", f"<footer>{no}{text}</footer>", f"<footer><p>{no}{text}</p></footer>", f"<div{named('footer', 'copyright', 'bottom', 'colophon')}><p>{no}{text}</p></div>")
 
     def article() -> str:
         parts = [f"<{(t := pick('h1', 'h1', 'h2'))}>{yes}{_prose(r, 2, 14)}</{t}>"] if r.random() < 0.85 else []
@@ -379,7 +379,8 @@ def training_page(r: np.random.Generator) -> tuple[list[Block], list[bool]]:
         return pick(f"<article>{inner}</article>", f"<article{named('post', 'entry', 'story')}>{inner}</article>", f"<main><div{named('content', 'text')}>{inner}</div></main>", f"<div{named('content', 'article', 'post', 'entry-content', 'story-body', 'main')}>{inner}</div>", f"<div>{inner}</div>", inner, f"<article>{inner}</article>")
 
     before = [f() for f in (head, menu, notice, advert, form) if r.random() < 0.5]
-    after = [f() for f in (side, comments, advert, form, notice, foot) if r.random() < 0.5]
+    often = r.choice([0.2, 0.6])  # some pages have little after the article
+    after = [f() for f in (side, comments, advert, form, notice) if r.random() < often] + ([foot()] if r.random() < 0.7 else [])
     r.shuffle(before)
     page = "".join([*before, article() if r.random() < 0.97 else "", *after])
     if r.random() < 0.3:
