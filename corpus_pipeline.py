@@ -37,11 +37,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that loses words continues as its kept words joined by one space, and one of which
     nothing is left goes.
     """
-    cut = settle(substring.remove_repeats(docs).where("n_removed > 0 and doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "kept_text"))
-    joined = docs.join(cut, "doc_id", "left").where("kept_text is null or kept_text <> ''")
-    text = F.coalesce("kept_text", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = substring.remove_repeats(docs, carry=("text", *others)).where("n_removed = 0 or kept_text <> ''")
+    lost = F.col("n_removed") > 0
+    changed = {"doc_id": F.col("doc_id"), "text": F.when(lost, F.col("kept_text")).otherwise(F.col("row.text"))}
+    if "n_chars" in others:
+        changed["n_chars"] = F.when(lost, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
