@@ -17,43 +17,56 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import binary_list, id_text, map_arrow, settle
+from .common import binary_list, id_text, map_arrow, small_batches
 
 ROWS, SHARD_BITS = 2, 21
-#: Words whose hashes are kept in a task's table before it starts anew.
-WORD_TABLE = 1 << 20
+#: What separates words: space and U+0009 to U+000D.
+WHITE = b" \t\n\x0b\f\r"
 #: Keys a task gathers before it emits what it has.
 KEYS = 1 << 21
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-class WordHashes(dict):
-    """Word to its place in a table of 128-bit hashes."""
+class WordHashes:
+    """128-bit hashes of all words of some texts, made on whole arrays of bytes.
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.table = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self.table) // 16
-        self.table += xxhash.xxh3_128_digest(word)
-        return at
+    A word's hash is the sum over its bytes of a random number for the byte times a power of an odd
+    base for its place, modulo 2^64, twice with other numbers. Places count through the whole array, and
+    the inverse power of a word's start brings its sum to the same scale wherever it stands.
+    """
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Two 64-bit halves for each word."""
-        if len(self) > WORD_TABLE:
-            self.clear()
-            self.table = bytearray()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        # a view, gone before the table grows again; the indexing copies
-        return np.frombuffer(self.table, np.uint64).reshape(-1, 2)[at].T
+    def __init__(self) -> None:
+        self.numbers = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), np.uint64, endpoint=True)
+        self.numbers[:, list(WHITE)] = 0
+        self.inverses = [np.uint64(pow(int(b), -1, 1 << 64)) for b in BASES]
+        self._extend(1 << 16)
+
+    def _extend(self, n: int) -> None:
+        self.powers = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b)))) for b in BASES]
+        self.back = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b)))) for b in self.inverses]
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes (2, words) of the texts' words one after another, and the number of words of each text."""
+        raw = np.frombuffer(b" ".join(texts), np.uint8)
+        if len(raw) > len(self.powers[0]):
+            self._extend(1 << (len(raw) - 1).bit_length())
+        solid = self.numbers[0][raw] != 0
+        starts = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1]))) if len(raw) else np.zeros(0, np.int64)
+        ends = np.cumsum([len(x) + 1 for x in texts])
+        counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+        hashes = np.empty((2, len(starts)), np.uint64)
+        for i in (0, 1) if len(starts) else ():
+            hashes[i] = _mix(np.add.reduceat(self.numbers[i][raw] * self.powers[i][: len(raw)], starts) * self.back[i][starts])
+        return hashes, counts
 
 
 def _rolling(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
@@ -83,7 +96,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def windows(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of a document of enough words: its two 64-bit hashes and its sketch key."""
+    """For each window of a run of words: its two 64-bit hashes and its sketch key."""
     with np.errstate(over="ignore"):
         first, second = (_mix(_rolling(h[i], window, BASES[i])) for i in (0, 1))
         low = _mix(_rolling(h[0], gram, BASES[1]))
@@ -95,6 +108,48 @@ def windows(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return first, second, low
 
 
+@dataclass
+class Group:
+    """Documents read together: most have few words, and arrays over many documents cost far less than many arrays.
+
+    `words` counts the words of each of the group's texts, the first of which is text `start` of the batch.
+    Text rows[j] has windows, n[j] of them from at[j] on in first, second and key.
+    """
+
+    start: int
+    words: list[int]
+    rows: list[int]
+    at: list[int]
+    n: list[int]
+    whole: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    key: np.ndarray
+
+
+def groups(texts: list[bytes], known: WordHashes, window: int, gram: int, most: int = 1 << 19) -> Iterator[Group]:
+    """The texts in groups of at least `most` bytes, or what is left; a longer text ends its group."""
+    start = total = 0
+    for end, text in enumerate(texts, 1):
+        total += len(text)
+        if total < most and end < len(texts):
+            continue
+        hashes, counts = known.of(texts[start:end])
+        n = np.maximum(counts - window + 1, 0)
+        rows = np.flatnonzero(n)
+        at = (np.cumsum(counts) - counts)[rows]
+        if len(rows):
+            first, second, key = windows(hashes, window, gram)
+        else:
+            first = second = key = np.zeros(0, np.uint64)
+        # windows that run over a text's end belong to none
+        edge = np.zeros(len(key) + 1, np.int8)
+        edge[at] += 1
+        edge[at + n[rows]] -= 1
+        yield Group(start, counts.tolist(), (rows + start).tolist(), at.tolist(), n[rows].tolist(), np.cumsum(edge[:-1], dtype=np.int8) > 0, first, second, key)
+        start, total = end, 0
+
+
 def _cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     mask = np.uint64((1 << bits) - 1)
     with np.errstate(over="ignore"):
@@ -122,13 +177,12 @@ def partition_sketches(docs: DataFrame, window: int, gram: int, bits: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, keys, n = WordHashes(), [], 0
         for batch in batches:
-            for text in binary_list(batch, "text"):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                key = windows(known.of(words), window, gram)[2]
-                keys.append(np.unique(key[np.concatenate(([True], key[1:] != key[:-1]))]))
-                n += len(keys[-1])
+            for g in groups(binary_list(batch, "text"), known, window, gram):
+                new = np.concatenate(([True], g.key[1:] != g.key[:-1]))
+                for at, size in zip(g.at, g.n, strict=True):  # each key once a document
+                    new[at] = True
+                    keys.append(np.unique(g.key[at : at + size][new[at : at + size]]))
+                    n += len(keys[-1])
                 if n > KEYS:
                     yield from emit(keys)
                     keys, n = [], 0
@@ -169,8 +223,8 @@ def _estimated(maps: list[np.ndarray], key: np.ndarray, bits: int) -> np.ndarray
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, sketch_bits: int = 27) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) of every row of docs (doc_id, text).
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, sketch_bits: int = 27, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) of every row of docs (doc_id, text), and a struct `row` of the columns in `carry`.
 
     A word goes if a window of `window` words that covers it has a word sequence that also starts in a
     document with a smaller doc_id, judged on the input. Kept words are joined by one space.
@@ -192,16 +246,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, sketch_bit
         known, maps = WordHashes(), bitmaps()
         for batch in batches:
             firsts, seconds, ids = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), binary_list(batch, "text"), strict=True):
-                words = text.split()
-                if len(words) < window:
+            doc_ids = batch.column(0).to_numpy()
+            for g in groups(binary_list(batch, "text"), known, window, gram):
+                if not g.rows:
                     continue
-                first, second, key = windows(known.of(words), window, gram)
-                hit = _estimated(maps, key, sketch_bits)
-                if hit.any():
-                    firsts.append(first[hit])
-                    seconds.append(second[hit])
-                    ids.append(np.full(len(firsts[-1]), doc_id, np.int64))
+                hit = np.flatnonzero(g.whole & _estimated(maps, g.key, sketch_bits))
+                firsts.append(g.first[hit])
+                seconds.append(g.second[hit])
+                ids.append(doc_ids[g.rows][np.searchsorted(g.at, hit, "right") - 1])
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (firsts, seconds, ids)], ["k1", "k2", "doc_id"])
 
@@ -211,26 +263,34 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, sketch_bit
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, maps = WordHashes(), bitmaps()
         for batch in batches:
-            out: list[list] = [[], [], []]
-            own = batch.column(batch.schema.get_field_index("own"))
-            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), binary_list(batch, "text"), strict=True)):
-                words, removed = text.split(), 0
-                if doc_id is not None and len(words) >= window:
-                    first, _, key = windows(known.of(words), window, gram)
-                    gone = _estimated(maps, key, sketch_bits)
-                    if gone.any() and own[i].is_valid:
-                        gone &= ~np.isin(first, own[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    if gone.any():
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        edge[:-window] += gone
-                        edge[window:] -= gone
-                        keep = np.cumsum(edge[:-1]) == 0
-                        removed = len(words) - int(keep.sum())
-                        words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                out[0].append(len(words) + removed)
-                out[1].append(removed)
-                out[2].append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
-
-    both = rows.join(owned.withColumnRenamed("owner", "doc_id"), "doc_id", "left").select("doc_id", "text", "own")
-    return map_arrow(both, cut, "doc_id long, n_words long, n_removed long, kept_text string")
+            texts, own = binary_list(batch, "text"), batch.column(batch.schema.get_field_index("own"))
+            named = batch.column(0).is_valid().to_pylist()
+            kept: list[bytes] = [b" ".join(x.split()) for x in texts]
+            words: list[int] = []
+            removed = [0] * len(texts)
+            for g in groups(texts, known, window, gram):
+                words += g.words
+                gone = g.whole & _estimated(maps, g.key, sketch_bits)
+                for i, at, n in zip(g.rows, g.at, g.n, strict=True):
+                    mine = gone[at : at + n]
+                    if not named[i] or not mine.any():
+                        continue
+                    if own[i].is_valid:
+                        mine = mine & ~np.isin(g.first[at : at + n], own[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    size = n + window - 1
+                    edge = np.zeros(size + 1, np.int64)
+                    edge[:n] += mine
+                    edge[window : window + n] -= mine
+                    keep = np.cumsum(edge[:-1]) == 0
+                    if lost := size - int(keep.sum()):
+                        removed[i], kept[i] = lost, b" ".join(compress(kept[i].split(b" "), keep.tolist()))
+            columns = [pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(batch.schema.get_field_index("row"))], ["doc_id", "n_words", "n_removed", "kept_text", "row"])
+
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("row"))
+    both = whole.join(owned.withColumnRenamed("owner", "doc_id"), "doc_id", "left").select("doc_id", "text", "own", "row")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("row", both.schema["row"].dataType)])
+    small_batches(spark)
+    out = both.mapInArrow(cut, schema)
+    return out if carry else out.drop("row")
