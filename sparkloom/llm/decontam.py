@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words over the whole corpus give IDF weights.
+1. Document frequencies of the benchmark's words over the whole corpus give IDF weights. A word weighs
+   sqrt(tf) idf^2 on either side, so that rare words decide.
 2. Benchmark items are cut into passages of 32 words, every 16. A distributed randomised SVD of their
    TF-IDF rows gives a latent space of as many dimensions as the items need: it spans what is searched for,
    so its size follows the benchmark, which is processed in groups of bounded size, and not the corpus.
@@ -19,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ WORD = re.compile(r"[^\W_]+")
 HALF = 16
 #: Places of words that the benchmark doesn't have, and of its stop words.
 UNKNOWN, STOP = -1, -2
+#: Characters of texts that are searched together, and passages in a product.
+CHARACTERS, PRODUCT = 1 << 18, 1 << 12
 #: Items in a group: bounds the latent space and what is broadcast.
 GROUP = 200
 
@@ -79,7 +83,7 @@ class Index:
     """A group's latent space: words' places (STOP for stop words), weights and vectors, and the folded passages of its items."""
 
     place: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray
     other: float
     vectors: np.ndarray
     folded: np.ndarray
@@ -88,32 +92,32 @@ class Index:
     answers: list[frozenset[str]]
 
 
-def _rows(words: list[str], place: dict[str, int], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """TF-IDF of each passage (word places, weights), normalised. A word's weight is sqrt(tf) idf, so that squared weights add up by occurrence."""
+def _rows(words: list[str], place: dict[str, int], weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """TF-IDF of each passage (word places, weights), normalised. With sqrt(tf), squared weights add up by occurrence."""
     out = []
     for s, e in passages(len(words)):
         tf = Counter(place[w] for w in words[s:e] if place.get(w, UNKNOWN) >= 0)
         at = np.fromiter(tf, np.int64, len(tf))
-        value = np.sqrt(np.fromiter(tf.values(), np.float64, len(tf))) * idf[at]
+        value = np.sqrt(np.fromiter(tf.values(), np.float64, len(tf))) * weight[at]
         out.append((at, value / max(1e-12, float(np.linalg.norm(value)))))
     return out
 
 
-def randomised_svd(items: DataFrame, place: dict[str, int], idf: np.ndarray, rank: int, energy: float, seed: int = 11) -> np.ndarray:
+def randomised_svd(items: DataFrame, place: dict[str, int], weight: np.ndarray, rank: int, energy: float, seed: int = 11) -> np.ndarray:
     """Word vectors (places x rank): right singular vectors of the items' TF-IDF passages.
 
     Two distributed passes. The first sends each task's part of (A W)'(A W) for a random W, whose Cholesky
     factor orthonormalises A W; the second sends each task's part of Q'A. Both sums have a size that the
     group bounds. items: (item_id, text).
     """
-    n, width = len(idf), rank
+    n, width = len(weight), rank
     test = np.random.default_rng(seed).normal(0, 1, (n, width))
 
     def parts(batches: Iterator[pa.RecordBatch], solve: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width) if solve is None else (width, n))
         for batch in batches:
             for text in text_list(batch, "text"):
-                for at, value in _rows(words_of(text), place, idf):
+                for at, value in _rows(words_of(text), place, weight):
                     y = value @ test[at]
                     if solve is None:
                         total += np.outer(y, y)
@@ -139,22 +143,22 @@ def build_index(items: DataFrame, frequencies: dict[str, int], n_docs: int, sett
     listed = sorted((r["item_id"], words) for r in items.collect() if (words := words_of(r["text"] or "")))
     if not listed:
         return None
-    weight = lambda w: math.log((1 + n_docs) / (1 + frequencies.get(w, 0)))
+    idf = lambda w: math.log((1 + n_docs) / (1 + frequencies.get(w, 0)))
     stop = settings.common * n_docs
     vocabulary = sorted({w for _, words in listed for w in words})
     useful = [w for w in vocabulary if frequencies.get(w, 0) <= stop] or vocabulary
     place = dict.fromkeys(vocabulary, STOP) | {w: i for i, w in enumerate(useful)}
-    idf = np.array([max(weight(w), 1e-3) for w in useful])
+    weight = np.array([max(idf(w), 1e-3) ** 2 for w in useful])
     n_passages = sum(len(passages(len(words))) for _, words in listed)
-    vectors = randomised_svd(items, place, idf, min(len(useful), n_passages + settings.extra), settings.energy)
+    vectors = randomised_svd(items, place, weight, min(len(useful), n_passages + settings.extra), settings.energy)
     folded, owner = [], []
     for i, (_, words) in enumerate(listed):
-        for at, value in _rows(words, place, idf):
+        for at, value in _rows(words, place, weight):
             z = value @ vectors[at]
             folded.append(z / max(1e-12, float(np.linalg.norm(z))))
             owner.append(i)
-    answers = [frozenset(sorted({w for w in words if place[w] >= 0}, key=lambda w: (-idf[place[w]], w))[: settings.answer_words]) for _, words in listed]
-    return Index(place, idf, float((idf**2).mean()), vectors, np.array(folded, np.float32), np.array(owner), listed, answers)
+    answers = [frozenset(sorted({w for w in words if place[w] >= 0}, key=lambda w: (-weight[place[w]], w))[: settings.answer_words]) for _, words in listed]
+    return Index(place, weight, float((weight**2).mean()), vectors, np.array(folded, np.float32), np.array(owner), listed, answers)
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -178,35 +182,64 @@ def confirm(words: list[str], start: int, item: list[str], answer: frozenset[str
     return (common_subsequence(item, near) / len(item) if answered >= settings.answer else 0.0), answered
 
 
-def matches(text: str, index: Index, settings: Settings) -> list[tuple[int, float, float]]:
-    """(item_id, common subsequence share, cosine) of each item found in a text, with its best figures."""
-    words = words_of(text)
-    get = index.place.get
-    at = np.array([get(w, UNKNOWN) for w in words], np.int64)
-    if not (at >= 0).any():
-        return []
-    spans = passages(len(words))
-    n = len(spans)
-    half = np.arange(len(words)) // HALF
-    by_half = lambda w: (x := np.bincount(half, weights=w, minlength=n + 1))[:n] + x[1 : n + 1]
-    known = by_half(np.where(at >= 0, index.idf[np.maximum(at, 0)] ** 2, 0))
-    norm = known + by_half(np.where(at == UNKNOWN, index.other, 0))
-    out: dict[int, tuple[float, float]] = {}
-    for s in np.flatnonzero((known > 0) & (known >= settings.cosine**2 * norm)).tolist():
-        a, b = spans[s]
-        place, tf = np.unique(at[a:b], return_counts=True)
-        tf, place = tf[place >= 0], place[place >= 0]
-        z = (np.sqrt(tf) * index.idf[place]).astype(np.float32) @ index.vectors[place]
-        cosine = index.folded @ z / math.sqrt(norm[s])
-        for owner in np.unique(index.owner[cosine >= settings.cosine]).tolist():
-            item_id, item = index.items[owner]
-            if item_id in out and out[item_id][0] == 1:
+def matches(texts: list[str], index: Index, settings: Settings) -> Iterator[tuple[int, int, float, float]]:
+    """(place of the text, item_id, common subsequence share, cosine) of each item found in each text, with its best figures.
+
+    Halves of all texts are numbered through, with an empty half after each text, so that arrays cover many texts.
+    """
+    listed = [words_of(x) for x in texts]
+    sizes = np.array([len(w) for w in listed])
+    halves = -(-sizes // HALF)
+    base = np.cumsum(halves + 1) - (halves + 1)
+    total = int((halves + 1).sum())
+    if not sizes.sum():
+        return
+    at = np.fromiter(map(index.place.get, chain.from_iterable(listed), repeat(UNKNOWN)), np.int64, int(sizes.sum()))
+    first = np.cumsum(sizes) - sizes
+    half = np.repeat(base, sizes) + (np.arange(len(at)) - np.repeat(first, sizes)) // HALF
+    pair = lambda w: (x := np.bincount(half, weights=w, minlength=total + 1))[:-1] + x[1:]
+    known = pair(np.where(at >= 0, index.weight[np.maximum(at, 0)] ** 2, 0))
+    norm = known + pair(np.where(at == UNKNOWN, index.other, 0))
+    strong = (known > 0) & (known >= settings.cosine**2 * norm)
+    strong[base[halves > 1] + halves[halves > 1] - 1] = False  # the last half starts no passage of its own
+    strong[base + halves] = False
+    passage = np.flatnonzero(strong)
+    row = np.full(total + 1, -1)
+    row[passage] = np.arange(len(passage))
+    # occurrences of benchmark words in strong passages: a half belongs to its own passage and to the one before
+    places, owners = [], []
+    hit = np.flatnonzero(at >= 0)
+    for shift in (0, 1):
+        r = row[half[hit] - shift]
+        keep = (r >= 0) & (half[hit] >= shift)
+        places.append(at[hit][keep])
+        owners.append(r[keep])
+    key, tf = np.unique(np.concatenate(owners) * len(index.weight) + np.concatenate(places), return_counts=True)
+    owner, place = key // len(index.weight), key % len(index.weight)
+    value = (np.sqrt(tf) * index.weight[place]).astype(np.float32)
+    cuts = np.searchsorted(owner, np.arange(len(passage)))
+    document = np.searchsorted(base, passage, "right") - 1
+    found: dict[tuple[int, int], tuple[float, float]] = {}
+    for s in range(0, len(passage), PRODUCT):
+        e = min(s + PRODUCT, len(passage))
+        lo, hi = cuts[s], cuts[e] if e < len(passage) else len(key)
+        z = np.add.reduceat(index.vectors[place[lo:hi]] * value[lo:hi, None], cuts[s:e] - lo)
+        cosine = z @ index.folded.T / np.sqrt(norm[passage[s:e]])[:, None]
+        pairs: dict[tuple[int, int], float] = {}
+        for p, o in np.argwhere(cosine >= settings.cosine).tolist():
+            k = (s + p, int(index.owner[o]))
+            pairs[k] = max(pairs.get(k, 0.0), float(cosine[p, o]))
+        for (p, o), c in pairs.items():
+            d = int(document[p])
+            item_id, item = index.items[o]
+            best = found.get((d, item_id))
+            if best and best[0] == 1:
                 continue
-            share, _ = confirm(words, a, item, index.answers[owner], settings)
+            share, _ = confirm(listed[d], int(passage[p] - base[d]) * HALF, item, index.answers[o], settings)
             if share >= settings.lcs:
-                best = out.get(item_id, (0.0, 0.0))
-                out[item_id] = max(best, (share, float(cosine[index.owner == owner].max())))
-    return [(i, share, cosine) for i, (share, cosine) in sorted(out.items())]
+                found[d, item_id] = max(best or (0.0, 0.0), (share, c))
+    for (d, item_id), (share, c) in sorted(found.items()):
+        yield d, item_id, share, c
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -243,10 +276,16 @@ def _search(rows: DataFrame, index: Index, settings: Settings, schema: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_list(batch, "text"), strict=True):
-                for found in matches(text, shared.value, settings):
-                    for column, value in zip(out, (doc_id, *found), strict=True):
+            ids, texts = batch.column(0).to_pylist(), text_list(batch, "text")
+            start = size = 0
+            for end, text in enumerate(texts, 1):
+                size += len(text)
+                if size < CHARACTERS and end < len(texts):
+                    continue
+                for d, *found in matches(texts[start:end], shared.value, settings):
+                    for column, value in zip(out, (ids[start + d], *found), strict=True):
                         column.append(value)
+                start, size = end, 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "lcs", "cosine"])
 
     return map_arrow(rows, run, schema)
