@@ -60,8 +60,8 @@ def explain(df: DataFrame) -> PlanNode:
     def node(plan) -> PlanNode:
         stats = plan.stats()
         rows = stats.rowCount()
-        size = int(stats.sizeInBytes().toString())
-        return PlanNode(plan.nodeName(), plan.simpleString(25), int(rows.get().toString()) if rows.isDefined() else None, size, children=[node(c) for c in _seq(plan.children())])
+        size = int(str(stats.sizeInBytes()))
+        return PlanNode(plan.nodeName(), plan.simpleString(25), int(str(rows.get())) if rows.isDefined() else None, size, children=[node(c) for c in _seq(plan.children())])
 
     return node(df._jdf.queryExecution().optimizedPlan())
 
