@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..errors import BuildError
+from ..plans.inspect import Inspect
 from ..plans.observe import observed
 from ..plans.policy import Policy
 from ..sources.tables import TableSource
@@ -191,7 +192,7 @@ OVER = ("count_all", "count", "sum", "avg", "min", "max")
 
 
 @dataclass(frozen=True)
-class Aggregate:
+class Aggregate(Inspect):
     """Immutable builder. Where never multiplies source rows: Has is an existence test and dotted paths need a unique target key."""
 
     model: Model
@@ -374,6 +375,12 @@ class Aggregate:
             return [r[0] for r in self.all(source)]
         return [into(**r.asDict()) for r in self.all(source)]
 
+    def compare(self, source: TableSource, **options):
+        """Runs under every read policy; see plans.compare."""
+        from ..plans.compare import compare
+
+        return compare(self, source, **options)
+
     def build(self, source: TableSource) -> tuple[str, dict]:
         from ..plans.shape import query_shape
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BuildError
 from ..functions.vector import METRICS, Vector, distance
+from ..plans.inspect import Inspect
 from ..plans.observe import observed
 from ..plans.policy import Policy
 from ..sources.tables import TableSource
@@ -17,7 +18,7 @@ from .predicate import Predicate, Scope, filtered, validate
 
 
 @dataclass(frozen=True)
-class Nearest:
+class Nearest(Inspect):
     """`approximate` only permits an index; there is none, so it orders by distance alone. NULL distances come first."""
 
     model: Model
@@ -76,9 +77,30 @@ class Nearest:
     def all(self, source: TableSource) -> list[Row]:
         return observed("All", self, source, lambda: self.df(source).collect())
 
+    def build(self, source: TableSource) -> tuple[str, dict]:
+        from ..plans.shape import query_shape
+
+        return self.df(source)._jdf.queryExecution().analyzed().toString(), query_shape(self)
+
     def index_usage(self) -> str:
+        """There is no vector index: scans are always exact."""
         return "not_used"
 
 
 def nearest(model: Model, field: str, vector, metric: str, k: int) -> Nearest:
     return Nearest(model, field, vector if isinstance(vector, Vector) else Vector(vector), metric, k)
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """What an index would cover; nothing is built."""
+
+    table: str
+    column: str
+    metric: str
+
+
+def build_vector_index(model: Model, field: str, metric: str) -> VectorIndex:
+    if model.field(field).kind != "vector" or metric not in METRICS:
+        raise BuildError("an index needs a vector field and a known metric")
+    return VectorIndex(model.table, model.field(field).column, metric)

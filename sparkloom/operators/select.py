@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import BuildError, MultipleRows, NoRows
+from ..plans.inspect import Inspect
 from ..plans.observe import observed
 from ..plans.policy import Policy
 from ..sources.tables import TableSource
@@ -19,7 +20,7 @@ from .preload import Preload, attach, check_preload
 
 
 @dataclass(frozen=True)
-class Query:
+class Query(Inspect):
     """Immutable builder: every method returns a new query. Terminals take the TableSource to read from."""
 
     model: Model

@@ -137,3 +137,13 @@ def diagnose(root: PlanNode, policy=None) -> list[Diagnostic]:
     if getattr(policy, "parallel", "") == "enforce" and not any(n.task == "exchange" for n in root.walk()):
         found.append(Diagnostic("PLN006", "parallel execution was enforced and there is no exchange"))
     return found
+
+
+class Inspect:
+    """Plan terminals of a builder that has df(source) and policy."""
+
+    def explain(self, source) -> PlanNode:
+        return explain(self.df(source))  # type: ignore[attr-defined]
+
+    def explain_analyze(self, source) -> Analysis:
+        return explain_analyze(self.df(source), self.policy)  # type: ignore[attr-defined]

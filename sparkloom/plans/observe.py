@@ -52,7 +52,7 @@ def observing(callback: Callable[[Event], None], include_arguments: bool = False
         _observers.reset(mark)
 
 
-def observed(terminal: str, query, source: TableSource, run: Callable):
+def observed(terminal: str, query, source: TableSource | None, run: Callable):
     """Runs a terminal and tells the observers, also of failures."""
     if not _observers.get():
         return run()
@@ -67,7 +67,7 @@ def observed(terminal: str, query, source: TableSource, run: Callable):
         raise
     finally:
         shape = query_shape(query)
-        rows = len(result) if isinstance(result, list) else None
+        rows = len(result) if isinstance(result, list) else result if terminal == "Exec" else None
         for callback, include in _observers.get():
             callback(Event(terminal, shape["operation"], shape["model"], fingerprint(shape), shape, time.perf_counter() - began, rows, error, arguments(query) if include else ()))
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..errors import SparkloomError
 from ..operators.model import IDENTIFIER, MOST_DIMENSIONS, Model
 from ..operators.mutation import DeleteWhere, UpdateMany, UpdateWhere
+from ..operators.nearest import Nearest
 from ..operators.predicate import Comparison, walk
 from ..operators.select import Query
 from ..plans.inspect import Diagnostic
@@ -174,6 +175,21 @@ def check_mutation(m: UpdateWhere | DeleteWhere | UpdateMany, catalog: dict[str,
     return [Diagnostic("QRY008", "no index starts with a column the predicates bound", m.model.name)]
 
 
+def check_vector(q: Nearest, catalog: dict[str, CatalogTable]) -> list[Diagnostic]:
+    """VEC001 the column isn't a vector of the query's dimensions; VEC002 no vector index, or filters that come before it."""
+    column = q.model.field(q.field).column
+    table = catalog.get(q.model.table)
+    found, c = [], table.columns.get(column) if table else None
+    if c is None or c.type != "VECTOR" or c.arguments and int(c.arguments[0]) != len(q.vector):
+        found.append(Diagnostic("VEC001", f"{column} isn't VECTOR({len(q.vector)})", q.model.name, "error"))
+    if q.approximate_:
+        if not table or not any(i.kind == "vector" and column in i.columns for i in table.indexes):
+            found.append(Diagnostic("VEC002", f"{column} has no vector index", q.model.name))
+        elif q.predicates or q.model.soft_delete and not q.deleted:
+            found.append(Diagnostic("VEC002", "filters come before the search, so the index can't be used", q.model.name))
+    return found
+
+
 @dataclass(frozen=True)
 class Suppression:
     code: str

@@ -320,6 +320,28 @@ def test_ddl_and_rules():
     assert {d.code for m in MODELS for d in checks.check_model(m)} <= {"MOD002", "MOD004", "MOD005"}
 
 
+def test_cost_vector_index_and_mutation_events(spark, tables, tmp_path):
+    from sparkloom.operators.nearest import build_vector_index
+    from sparkloom.plans.cost import collect_cost, collect_warnings
+
+    rows, cost = collect_cost(spark, lambda: O.all(tables))
+    assert rows and cost.input_bytes > 0 and cost.executor_seconds > 0 and collect_warnings() == []
+    assert build_vector_index(Embedding, "Vector", "l2").column == "embedding"
+    with pytest.raises(BuildError):
+        build_vector_index(Embedding, "Label", "l2")
+    catalog = ddl.parse("CREATE TABLE embeddings (vec_id BIGINT PRIMARY KEY, embedding VECTOR(3), label INT, VECTOR INDEX v (embedding))")
+    q = nearest(Embedding, "Vector", [1, 2, 3], "l2", 5)
+    assert checks.check_vector(q, catalog) == [] and [d.code for d in checks.check_vector(nearest(Embedding, "Vector", [1], "l2", 5), catalog)] == ["VEC001"]
+    assert [d.code for d in checks.check_vector(q.approximate().where(Equal("Label", 1)), catalog)] == ["VEC002"]
+    assert q.index_usage() == "not_used" and "limit" not in q.build(tables)[1]
+    store, seen = VersionedStore(spark, str(tmp_path)), []
+    store.put("orders", tables.table("orders"))
+    with observing(seen.append, include_arguments=True):
+        store.exec(UpdateWhere(Order, (Set("Status", "x"),)).where(Equal("OrderKey", 5)))
+    assert [(e.terminal, e.operation, e.rows, e.arguments) for e in seen] == [("Exec", "UpdateWhere", 1, (5,))]
+    assert O.explain(tables).walk() and O.explain_analyze(tables).result_rows == len(rows)
+
+
 def test_audit(tables):
     child = Model("Order", "orders", Order.fields, [belongs_to("Customer", Model("Few", "few_customers", Customer.fields), ("CustKey",), ("CustKey",))])
     assert [(d.code, d.severity) for d in audit([child], tables)] == [("REF005", "error")]
