@@ -38,9 +38,9 @@ class Training:
     least_documents: int = 3
     steps: int = 200
     rate: float = 0.3
-    shrink: float = 1e-2
+    shrink: float = 5e-3
     #: Logit of a sentence without evidence. Fixed: fitted, it would explain missed labels by length.
-    prior: float = -7.5
+    prior: float = -8.5
 
 
 @dataclass(frozen=True)
