@@ -42,8 +42,8 @@ GROUP = 200
 @dataclass(frozen=True)
 class Settings:
     cosine: float = 0.3
-    lcs: float = 0.6
-    answer: float = 0.5
+    lcs: float = 0.5
+    answer: float = 0.4
     answer_words: int = 8
     #: Words in more than this share of documents are stop words.
     common: float = 0.3
