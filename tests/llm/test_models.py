@@ -135,7 +135,7 @@ def test_blocks_follow_the_page():
 def test_pipeline_stages_take_effect(spark, data):
     import corpus_pipeline
 
-    from sparkloom.llm import decontam, packing, simhash, substring
+    from sparkloom.llm import decontam, packing, simhash_similarity, substring
     from sparkloom.llm.common import table
 
     docs = table(spark, data, "documents")
@@ -145,7 +145,7 @@ def test_pipeline_stages_take_effect(spark, data):
     scored = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, table(spark, data, "labels"))).collect()}
     assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {i for i, s in scored.items() if s < 0.3}
     single = stages["near_duplicates"](spark, clean, data).cache()
-    groups = simhash.near_duplicates(clean).collect()
+    groups = simhash_similarity.near_duplicates(clean).collect()
     assert {r.doc_id for r in single.collect()} == {r.component_id for r in groups}
     cut = stages["substring_dedup"](spark, single, data).cache()
     removed = {r.doc_id: r for r in substring.remove_repeats(single).collect()}

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, decontam, packing, quality, simhash, substring, tokencount, toxicity, warc
+from sparkloom.llm import ann, decontam, packing, quality, simhash, simhash_similarity, substring, tokencount, toxicity, warc
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.tokenization import default_path, encoder, version_digest
 
@@ -54,6 +54,7 @@ def test_every_document_operator_takes_an_empty_table(spark, empty):
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
     assert simhash.near_duplicates(empty).count() == 0
+    assert simhash_similarity.near_duplicates(empty).count() == 0
     assert substring.remove_repeats(empty).count() == 0
     assert tokencount.count_tokens(empty).count() == 0
     assert quality.classify(empty).count() == 0
@@ -111,6 +112,38 @@ def test_simhash_links_all_near_fingerprints(spark, max_bits):
     assert [found.get(i, i) for i in range(len(listed))] == label
 
 
+def test_similarity_links_against_brute_force(spark, odd):
+    r = random.Random(9)
+    rows, n = [], 1000
+    for _ in range(25):
+        words = [f"v{r.randrange(5000)}" for _ in range(r.choice([12, 40, 90, 300, 1200]))]
+        for share in (0, 0.002, 0.01, 0.03, 0.08):
+            rows.append((n, " ".join(f"v{r.randrange(5000)}" if r.random() < share else w for w in words)))
+            n += 1
+    df = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs = df.distinct().where("doc_id is not null").collect()
+
+    def shingles(text):
+        words = split("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(d.text) for d in docs]
+    alike = lambda i, j: (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) if sets[i] or sets[j] else True
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if label[i] != label[j] and alike(i, j):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    least = {}
+    for d, x in zip(docs, label, strict=True):
+        least[x] = min(least.get(x, d.doc_id), d.doc_id)
+    expected = {d.doc_id: least[x] for d, x in zip(docs, label, strict=True)}
+    found = simhash_similarity.near_duplicates(df).collect()
+    assert len(found) == df.count()
+    assert {x.doc_id: x.component_id for x in found} == expected | {None: None}
+
+
 def test_embedding_distance_is_a_lower_bound():
     r = np.random.default_rng(1)
     a, b = (r.integers(0, 1 << 64, 500, np.uint64) for _ in range(2))
