@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, packing, simhash, substring, toxicity
+from sparkloom.llm import decontam, packing, simhash_similarity, substring, toxicity
 from sparkloom.llm.common import new_folder, settle, table
 
 #: SQL can't express the trained, hashed and tokenised stages; tests/llm compares them with brute force.
@@ -25,8 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the document with the smallest doc_id."""
-    groups = simhash.near_duplicates(docs)
+    """Keeps of each near-duplicate group the document with the smallest doc_id.
+
+    Groups are linked by a similarity of 0.8 or more of five-word shingle sets, found by SimHash and checked exactly.
+    """
+    groups = simhash_similarity.near_duplicates(docs, similarity=0.8, words_in_shingle=5)
     copies = settle(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
