@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 
@@ -33,5 +34,9 @@ class WordScores(dict):
 
 def incidence(words: list[str], features=word_features) -> tuple[np.ndarray, np.ndarray]:
     """For each word the buckets of its features, as two parallel arrays (word place, bucket)."""
-    found = [features(w) for w in words]
-    return np.repeat(np.arange(len(words)), [len(x) for x in found]), np.fromiter((b for x in found for b in x), np.int64)
+    sizes, buckets = array("i"), array("i")
+    for w in words:
+        found = features(w)
+        sizes.append(len(found))
+        buckets.extend(found)
+    return np.repeat(np.arange(len(words), dtype=np.int32), np.array(sizes)), np.array(buckets)

@@ -207,9 +207,9 @@ def merged_sketch(docs: DataFrame, window: int, gram: int, bits: int) -> list[by
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([shard], pa.int32()), pa.array([np.packbits(at > 1).tobytes()], pa.binary())], ["row", "shard", "cells"])
 
     shards = max(1, (1 << bits) // size)
-    dealt = partition_sketches(docs, window, gram, bits).repartition(min(ROWS * shards, 128), "row", "shard")
+    dealt = partition_sketches(docs, window, gram, bits).repartition(min(ROWS * shards, 32), "row", "shard")
     maps = [bytearray(max(1, (1 << bits) // 8)) for _ in range(ROWS)]
-    for row, shard, cells in dealt.mapInArrow(merge, "row int, shard int, cells binary").toLocalIterator():
+    for row, shard, cells in dealt.mapInArrow(merge, "row int, shard int, cells binary").collect():  # 32 MB at most
         maps[row][shard * len(cells) : (shard + 1) * len(cells)] = cells
     return [bytes(x) for x in maps]
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,9 +60,7 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
 def fit(texts: list[str], labels: list[int], settings: Training = Training()) -> Model:
     """Adagrad on the exact noisy-or likelihood, over the whole sample at each step."""
     places: dict[str, int] = {}
-    words: list[int] = []
-    sizes: list[int] = []
-    owners: list[int] = []
+    words, sizes, owners = array("i"), array("i"), array("i")  # a sample has millions of words
     for d, text in enumerate(texts):
         for _, _, found in sentences(text):
             words.extend(places.setdefault(w, len(places)) for w in sorted(found))
@@ -72,13 +71,12 @@ def fit(texts: list[str], labels: list[int], settings: Training = Training()) ->
     weights = np.zeros(1 << BITS)
     if not words or y.min() == y.max():  # nothing to learn from
         return Model(weights.astype(np.float32), bias)
-    w = np.array(words)
-    s = np.repeat(np.arange(len(sizes)), sizes)
-    d = np.array(owners)
+    w, d = np.array(words), np.array(owners)
+    s = np.repeat(np.arange(len(sizes), dtype=np.int32), np.array(sizes))
     word_at, bucket = incidence(list(places))
     # a bucket is fitted only if it is seen in several documents, so that words of one document learn nothing
-    seen = np.unique(np.stack([d[s], w]), axis=1)
-    documents = np.bincount(bucket, weights=np.bincount(seen[1], minlength=len(places))[word_at], minlength=1 << BITS)
+    seen = np.unique(d[s].astype(np.int64) * len(places) + w) % len(places)
+    documents = np.bincount(bucket, weights=np.bincount(seen, minlength=len(places))[word_at], minlength=1 << BITS)
     kept = documents >= settings.least_documents
     word_at, bucket = word_at[kept[bucket]], bucket[kept[bucket]]
     squares = np.full(1 << BITS, 1e-8)
@@ -122,7 +120,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: Training) -> t
     chosen = marked.orderBy(*order).limit(settings.documents)
     # the sample is bounded by settings.documents, so broadcasting it is
     rows = id_text(docs).where(F.length(F.coalesce("text", F.lit(""))) <= settings.characters).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    sample = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.toLocalIterator()), key=lambda r: r[0])
+    sample = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.collect()), key=lambda r: r[0])
     return [r[1] for r in sample], [r[2] for r in sample]
 
 
