@@ -26,7 +26,7 @@ from .common import map_arrow, text_list
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset(["hr"])
 SILENT = "script|style|noscript|template|title|textarea|iframe|svg|select|button|canvas|object"
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>", re.S | re.I)
+MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^<>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*(?:>|(?=<))|<[!?][^<>]*(?:>|(?=<))", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+|[0-9]+")
 #: A new element of the first kind ends an open one of the second kind that nothing of the third kind encloses.
