@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_list, id_text, map_arrow, settle
 from .components import connected_components
-from .simhash import embedding, links
+from .simhash import CHUNK, embedding, links
 
 #: Shingles in a class on average, and classes compared.
 IN_CLASS, CLASSES = 6, 32
@@ -41,11 +41,15 @@ def shingle_hashes(text: bytes, k: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, stops, strict=False)), np.uint64, len(stops)))
 
 
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def majority(hashes: np.ndarray) -> int:
     """Fingerprint of a set of shingle hashes; 0 for none."""
     if not len(hashes):
         return 0
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ones = sum(_bits(hashes[s : s + CHUNK]).sum(axis=0, dtype=np.int64) for s in range(0, len(hashes), CHUNK))
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
@@ -55,7 +59,6 @@ def class_keys(hashes: np.ndarray, similarity: float) -> list[int]:
     if not n:
         return out
     level = lambda x: max(0, int(np.log2(max(1.0, x / IN_CLASS))))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
     for size in sorted({level(n), level(n / similarity)}):
         classes = 1 << size
         # the high bits deal, so that a class's members say little about its fingerprint's low bits
@@ -65,7 +68,7 @@ def class_keys(hashes: np.ndarray, similarity: float) -> list[int]:
         if not len(order):
             continue
         found, first = np.unique(of[order], return_index=True)
-        ones = np.add.reduceat(bits[order], first)
+        ones = np.add.reduceat(_bits(hashes[order]).astype(np.int32), first)
         members = np.diff(np.append(first, len(order)))
         prints = np.packbits(ones * 2 > members[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
         for c, m, p in zip(found.tolist(), members.tolist(), prints.tolist()):
