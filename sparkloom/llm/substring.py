@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import compress
@@ -31,6 +32,7 @@ from .common import binary_list, id_text, map_arrow, small_batches
 ROWS, SHARD_BITS = 2, 21
 #: What separates words: space and U+0009 to U+000D.
 WHITE = b" \t\n\x0b\f\r"
+GAP, SLICE = re.compile(b"[%s]" % WHITE), 1 << 22
 #: Keys a task gathers before it emits what it has.
 KEYS = 1 << 21
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -56,17 +58,26 @@ class WordHashes:
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes (2, words) of the texts' words one after another, and the number of words of each text."""
-        raw = np.frombuffer(b" ".join(texts), np.uint8)
-        if len(raw) > len(self.powers[0]):
-            self._extend(1 << (len(raw) - 1).bit_length())
-        solid = self.numbers[0][raw] != 0
-        starts = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1]))) if len(raw) else np.zeros(0, np.int64)
+        whole = b" ".join(texts)
+        raw = np.frombuffer(whole, np.uint8)
+        starts: list[np.ndarray] = [np.zeros(0, np.int64)]
+        hashes: list[np.ndarray] = [np.zeros((2, 0), np.uint64)]
+        at = 0
+        while at < len(raw):  # slices that end at white space bound what a very long text takes
+            cut = GAP.search(whole, at + SLICE)
+            to = cut.start() if cut else len(raw)
+            part = raw[at:to]
+            if len(part) > len(self.powers[0]):
+                self._extend(1 << (len(part) - 1).bit_length())
+            solid = self.numbers[0][part] != 0
+            begin = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1])))
+            if len(begin):
+                starts.append(begin + at)
+                hashes.append(np.stack([_mix(np.add.reduceat(self.numbers[i][part] * self.powers[i][: len(part)], begin) * self.back[i][begin]) for i in (0, 1)]))
+            at = to
         ends = np.cumsum([len(x) + 1 for x in texts])
-        counts = np.diff(np.searchsorted(starts, ends), prepend=0)
-        hashes = np.empty((2, len(starts)), np.uint64)
-        for i in (0, 1) if len(starts) else ():
-            hashes[i] = _mix(np.add.reduceat(self.numbers[i][raw] * self.powers[i][: len(raw)], starts) * self.back[i][starts])
-        return hashes, counts
+        counts = np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
+        return np.concatenate(hashes, axis=1), counts
 
 
 def _rolling(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
