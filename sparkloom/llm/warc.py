@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, new_folder, settle
+from .common import free_shuffles, map_arrow, new_folder, settle
 
 READ = 1 << 20
 #: A fixed date: archives of equal input are equal.
@@ -142,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     marked = rows.join(firsts, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None).cast("long")).otherwise(F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, sink, pack, path = 0, None, zlib.compressobj(1, zlib.DEFLATED, 31), ""
+        n, sink, pack, path = 0, None, zlib.compressobj(6, zlib.DEFLATED, 31), ""
         for batch in batches:
             for page_id, url, text, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sink is None:
@@ -160,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     return settle(map_arrow(marked, run, "path string, records long"))
 
 
-def normalise_file(files: pafs.FileSystem, path: str, level: int = 5) -> tuple[str, str, int]:
+def normalise_file(files: pafs.FileSystem, path: str, level: int = 6) -> tuple[str, str, int]:
     """Rewrites one gzip archive with a member a record, and its index; their paths and the number of records."""
     to = f"{path.removesuffix('.warc.gz')}-{uuid.uuid4().hex[:12]}.members"
     offset = n = 0
@@ -175,6 +175,11 @@ def normalise_file(files: pafs.FileSystem, path: str, level: int = 5) -> tuple[s
     return f"{to}.warc.gz", f"{to}.index.jsonl", n
 
 
+def _each(archives: DataFrame) -> DataFrame:
+    """A partition for each archive: a row is a whole file's work, however small the row."""
+    return archives.repartition(max(1, archives.count()))
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """(path, index, records) of the rewritten archives. Each archive is one task's work, read once as a stream."""
 
@@ -185,8 +190,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                 done = normalise_file(files, path)
                 yield pa.RecordBatch.from_arrays([pa.array([done[0]]), pa.array([done[1]]), pa.array([done[2]], pa.int64())], ["path", "index", "records"])
 
-    # archives differ in size, so each is a row dealt on its own
-    return settle(archives.repartition("path").mapInArrow(run, "path string, index string, records long"))
+    return settle(_each(archives).mapInArrow(run, "path string, index string, records long"))
 
 
 def read_members(files: pafs.FileSystem, path: str, index: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -227,10 +231,12 @@ def read_records(members: DataFrame, folder: str, payloads: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return members.repartition("path").select("path", "index").mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return _each(members).select("path", "index").mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, payloads: bool = True) -> DataFrame:
     """Writes pages as monolithic archives, normalises them and reads every record back. Empty tables give an empty result."""
     folder = folder or new_folder(pages.sparkSession, "warc")
-    return read_records(normalise(write_archives(pages, folder, least_bytes), folder), folder, payloads)
+    archives = write_archives(pages, folder, least_bytes)
+    free_shuffles(pages.sparkSession)  # the pages' shuffle is as large as both kinds of archive
+    return read_records(normalise(archives, folder), folder, payloads)
