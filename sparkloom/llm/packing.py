@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import id_text, map_arrow, settle, text_list
 from .tokenization import default_path, encoder
 
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8_192
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int, end_id: int) -> DataFrame:
