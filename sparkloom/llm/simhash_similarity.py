@@ -2,11 +2,12 @@
 
 Candidates come from two searches and are checked exactly, on whole texts. One is the grid range join of
 `simhash` over the popcount embeddings of whole-document fingerprints. But fingerprints of texts with a Jaccard
-similarity of 0.8 differ in ten bits and more, which no grid can search. So, for the other, a document's shingles are dealt by hash into classes of about six, and every class
-gets a SimHash fingerprint of its own. Similar documents have many classes in common: with a similarity of
-0.8 two documents of 32 classes have no equal fingerprint once in some thousand cases. The number of classes
-follows the length, rounded to powers of two; a document near a boundary also takes the next number,
-so that documents whose lengths fit the similarity meet.
+similarity of 0.8 differ in ten bits and more, which no grid can search. So, for the other, a document gets 32 keys
+of four least shingle hashes each (MinHash), whatever its length. Two texts of similarity s share a key with
+probability 1 - (1 - s^4)^32: at 0.8 they miss each other once in some twenty million cases.
+
+Texts that share a key are a bucket. They first meet its hubs; then those of a bucket that are still in different
+components meet block by block, so that every pair of a bucket is linked or was checked.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, id_text, map_arrow, settle
+from .common import binary_list, id_text, is_empty, map_arrow, settle
 from .components import connected_components
 from .simhash import CHUNK, embedding, links
 
-#: Shingles in a class on average, and classes compared.
-IN_CLASS, CLASSES = 6, 32
+#: Keys of a text, and the least hashes in each.
+BANDS, LEAST = 32, 4
+FLIPS, FACTORS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * LEAST, 1), np.uint64) | np.array([0, 1], np.uint64)[:, None, None]
+#: Texts and shingles of a bucket's block, and shingles compared at a time.
+BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 64, 1 << 19, 1 << 13
 
 
 def shingle_hashes(text: bytes, k: int, seed: int = 42) -> np.ndarray:
@@ -53,34 +57,96 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def class_keys(hashes: np.ndarray, similarity: float) -> list[int]:
-    """A key for each compared class: its number, how many classes there are, and its fingerprint."""
-    n, out = len(hashes), []
-    if not n:
-        return out
-    level = lambda x: max(0, int(np.log2(max(1.0, x / IN_CLASS))))
-    for size in sorted({level(n), level(n / similarity)}):
-        classes = 1 << size
-        # the high bits deal, so that a class's members say little about its fingerprint's low bits
-        of = (hashes >> np.uint64(40)).astype(np.int64) & (classes - 1)
-        order = np.argsort(of, kind="stable")
-        order = order[: np.searchsorted(of[order], min(classes, CLASSES))]
-        if not len(order):
-            continue
-        found, first = np.unique(of[order], return_index=True)
-        ones = np.add.reduceat(_bits(hashes[order]).astype(np.int32), first)
-        members = np.diff(np.append(first, len(order)))
-        prints = np.packbits(ones * 2 > members[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        for c, m, p in zip(found.tolist(), members.tolist(), prints.tolist()):
-            out.append(xxhash.xxh64_intdigest(b"%d %d %d %d" % (size, c, m, p)) - (1 << 63))
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band: its number and the least of the set's hashes under each of its functions."""
+    if not len(hashes):
+        return []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
+    for s in range(0, len(hashes), CHUNK):
+        np.minimum(least, ((hashes[s : s + CHUNK] ^ FLIPS) * FACTORS).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(least.reshape(BANDS, LEAST))]
+
+
+def similar(common: np.ndarray | int, p: np.ndarray | int, q: np.ndarray | int, similarity: float) -> np.ndarray | bool:
+    """Whether sets of p and q shingles with so many in common have the similarity."""
+    return (common >= similarity * (p + q - common)) & (p > 0)
+
+
+def block_links(sets: list[np.ndarray], labels: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Places of similar sets of different labels, as many as link those labels."""
+    sizes = np.array([len(x) for x in sets])
+    found, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]
+    row = np.repeat(np.arange(len(sets)), sizes)[column >= 0]
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)))
+    for start in range(0, int((n > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[lo:hi], column[lo:hi] - start] = 1
+        common += part @ part.T
+    near = similar(common, sizes[:, None], sizes, similarity)
+    roots = {x: x for x in labels}
+
+    def root(x: int) -> int:
+        while roots[x] != x:
+            roots[x] = x = roots[roots[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(np.triu(near, 1)).tolist():
+        x, y = root(labels[i]), root(labels[j])
+        if x != y:
+            roots[x] = y
+            out.append((i, j))
     return out
 
 
+def _rest(shared: DataFrame, hubs: DataFrame, edges: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, words_in_shingle: int) -> DataFrame | None:
+    """(src, dst) between texts of a bucket that edges leave in different components, hubs apart; None if there are no such texts.
+
+    The texts outside a bucket's largest component meet each other and those inside it, in blocks of bounded size.
+    """
+    roots = connected_components(edges)
+    apart = shared.join(hubs, "key").where("not array_contains(hubs, node)").select("key", "node")
+    apart = settle(apart.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
+    open_keys = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    members = settle(apart.join(open_keys, "key").join(nodes.select("node", "size"), "node"))
+    if is_empty(members):
+        return None
+    labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    top = labels.groupBy("key").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_TEXTS, size / BLOCK_SHINGLES)).cast("int")
+    top = settle(top.select("key", F.col("top.label").alias("main"), blocks(F.col("top.n"), F.col("top.size")).alias("inside"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("outside")))
+    dealt = members.join(top, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("label") == F.col("main"), F.col("inside")).otherwise(F.col("outside"))).cast("int"))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    meeting = lambda main, i, j: F.struct(F.lit(main).alias("main"), i.alias("i"), j.alias("j"))
+    among = F.transform(numbers("outside"), lambda x: meeting(False, F.least("block", x), F.greatest("block", x)))
+    across = F.transform(numbers("inside"), lambda x: meeting(True, F.col("block"), x))
+    visits = F.when(F.col("label") == F.col("main"), F.transform(numbers("outside"), lambda x: meeting(True, x, F.col("block")))).otherwise(F.concat(among, across))
+    dealt = dealt.select("key", "node", "label", F.explode(visits).alias("visit"))
+    texts = rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+    met = dealt.join(texts, "node").groupBy("key", "visit").agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"), F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                at, labels, texts = (batch.column(c)[i].as_py() for c in range(3))
+                out += [(at[x], at[y]) for x, y in block_links([shingle_hashes(t.encode(), words_in_shingle) for t in texts], labels, similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], ["src", "dst"])
+
+    return map_arrow(met.select("nodes", "labels", "texts"), run, "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle: int = 5) -> DataFrame:
     """(doc_id, component_id): groups of documents linked by a Jaccard similarity of their shingle sets of at least `similarity`.
 
-    Texts that are equal after lower-casing A-Z and joining words by one space are one node. Nodes that share a class meet its
-    smallest, its largest and a random-like member, never all pairs; each meeting is checked on the whole texts.
+    Texts that are equal after lower-casing A-Z and joining words by one space are one node. Nodes that share a key meet three
+    hubs, the one with the most company over all its keys among them, and then whoever is still in another component;
+    each meeting is checked on the whole texts.
     Nulls: a null text counts as empty; texts without words are one group. A null doc_id gets a null
     component and takes no part. Repeated rows come back repeated; an empty table gives an empty result.
     """
@@ -91,22 +157,26 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle:
             texts = binary_list(batch, "text")
             digests = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
             hashes = [shingle_hashes(t, words_in_shingle) for t in texts]
-            keys = [class_keys(h, similarity) for h in hashes]
+            keys = [band_keys(h) for h in hashes]
             prints = np.array([majority(h) for h in hashes], np.uint64)
-            columns = [pa.array(digests, pa.binary()), pa.array(prints.view(np.int64)), pa.array(embedding(prints).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "digest", "fp", "cell", "keys"])
+            columns = [pa.array(digests, pa.binary()), pa.array(prints.view(np.int64)), pa.array(embedding(prints).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array([len(h) for h in hashes], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "digest", "fp", "cell", "keys", "size"])
 
-    made = settle(map_arrow(rows.where("doc_id is not null"), run, "doc_id long, digest binary, fp long, cell long, keys array<long>"))
+    made = settle(map_arrow(rows.where("doc_id is not null"), run, "doc_id long, digest binary, fp long, cell long, keys array<long>, size long"))
     owners = settle(made.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    nodes = made.join(owners.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).groupBy(F.col("doc_id").alias("node")).agg(*[F.first(c).alias(c) for c in ("fp", "cell", "keys")])
+    nodes = made.join(owners.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).groupBy(F.col("doc_id").alias("node")).agg(*[F.first(c).alias(c) for c in ("fp", "cell", "keys", "size")])
     nodes = settle(nodes)
     prints = settle(nodes.groupBy("fp", "cell").agg(F.min("node").alias("node")))
     alike = nodes.join(prints.select("fp", F.col("node").alias("b")), "fp").select(F.col("node").alias("a"), "b").where("a <> b")
     alike = alike.union(links(prints).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     spread = settle(nodes.select("node", F.explode("keys").alias("key")))
-    met = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(F.xxhash64("node", "key"), F.col("node").alias("any"))).getField("any").alias("any"))
-    met = settle(met.where("low <> high"))
-    pairs = spread.join(met, "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high", "any")).alias("b")).where("a <> b").union(alike)
+    met = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.min(F.struct(F.xxhash64("node", "key"), F.col("node").alias("any"))).getField("any").alias("any"))
+    met = settle(met.where("n > 1"))
+    shared = settle(spread.join(met.select("key", "n"), "key"))
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    most = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).getField("node").alias("most"))
+    hubs = settle(met.join(most, "key").select("key", F.array_distinct(F.array("low", "any", "most")).alias("hubs")))
+    pairs = shared.join(hubs, "key").select(F.col("node").alias("a"), F.explode("hubs").alias("b")).where("a <> b").union(alike)
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     texts = rows.join(settle(pairs.select("a").union(pairs.select(F.col("b"))).distinct().withColumnRenamed("a", "doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -117,10 +187,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle:
             for x, y in zip(binary_list(batch, "text_a"), binary_list(batch, "text_b"), strict=True):
                 p, q = shingle_hashes(x, words_in_shingle), shingle_hashes(y, words_in_shingle)
                 common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common >= similarity * (len(p) + len(q) - common) and len(p) > 0)
+                keep.append(similar(common, len(p), len(q), similarity))
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    edges = map_arrow(both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "text_a", "text_b"), check, "src long, dst long")
+    edges = settle(map_arrow(both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "text_a", "text_b"), check, "src long, dst long"))
+    rest = _rest(shared, hubs, edges, nodes, rows, similarity, words_in_shingle)
+    edges = edges if rest is None else edges.union(rest)
     roots = connected_components(edges)
     named = settle(owners.join(roots, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")))
     known = made.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")

@@ -144,6 +144,44 @@ def test_similarity_links_against_brute_force(spark, odd):
     assert {x.doc_id: x.component_id for x in found} == expected | {None: None}
 
 
+def test_similar_texts_share_a_key_at_every_length():
+    r = np.random.default_rng(3)
+    for n in (4, 5, 8, 12, 16, 36, 76, 190, 300, 1200):  # shingles; as many are added as a similarity of 0.8 allows
+        for _ in range(100):
+            a = r.integers(0, 1 << 64, n, np.uint64)
+            b = np.concatenate([a, r.integers(0, 1 << 64, n // 4, np.uint64)])
+            assert set(simhash_similarity.band_keys(a)) & set(simhash_similarity.band_keys(b))
+
+
+@pytest.mark.parametrize("base", [True, False])
+def test_similar_groups_whose_base_has_a_middle_id(spark, base):
+    r = random.Random(4)
+    words = [r.randbytes(4).hex() for _ in range(244)]
+    rows = [(1000, " ".join(words))] if base else []
+    for i in range(300):  # similar to the base only: 0.83, and about 0.7 among themselves
+        w = list(words)
+        start = r.randrange(50)
+        for k in range(4):
+            w[start + 50 * k] = r.randbytes(4).hex()
+        rows.append((850 + i + (i >= 150), " ".join(w)))
+    sets = [set(simhash_similarity.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = np.array([i for i, _ in rows])
+    for _ in rows:
+        label = np.where(near, label, 1 << 40).min(axis=1)
+    found = simhash_similarity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in found} == dict(zip([i for i, _ in rows], label.tolist(), strict=True))
+    assert (len(set(label.tolist())) == 1) == base
+
+
+def test_block_links_find_what_hubs_miss():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 64, 240, np.uint64)
+    sets = [np.unique(np.concatenate([base[: 240 - 22], r.integers(0, 1 << 64, 22, np.uint64)])) for _ in range(3)] + [r.integers(0, 1 << 64, 50, np.uint64)]
+    assert len(simhash_similarity.block_links(sets, [0, 1, 2, 3], 0.8)) == 2
+    assert simhash_similarity.block_links(sets, [0, 0, 0, 3], 0.8) == []
+
+
 def test_embedding_distance_is_a_lower_bound():
     r = np.random.default_rng(1)
     a, b = (r.integers(0, 1 << 64, 500, np.uint64) for _ in range(2))
