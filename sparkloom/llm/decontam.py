@@ -8,6 +8,8 @@
 3. Every passage of every document is folded into that space and compared by cosine. Its norm counts
    words the benchmark doesn't have at the mean weight of those it has. A passage whose benchmark words
    can't reach the threshold (their norm bounds its projection's) needs no product.
+   Beside it, a passage with half of an item passage's rarest words is a candidate too, whatever their frequency
+   and the corpus's size: of the two passages around an exact copy one has that many.
 4. A candidate is confirmed by the longest common subsequence of the item's words and the words around
    the passage, and by an answer check: most of the item's rarest words must be there. Both allow
    for words that were changed, dropped or added.
@@ -80,7 +82,10 @@ def passages(n_words: int) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Index:
-    """A group's latent space: words' places (STOP for stop words), weights and vectors, and the folded passages of its items."""
+    """A group's latent space: words' places (stop words after those with weights), weights and vectors, and the folded passages of its items.
+
+    keyed and key_of list (place, item passage) of each item passage's rarest words, by place; need is how many a candidate has.
+    """
 
     place: dict[str, int]
     weight: np.ndarray
@@ -90,13 +95,16 @@ class Index:
     owner: np.ndarray
     items: list[tuple[int, list[str]]]
     answers: list[frozenset[str]]
+    keyed: np.ndarray
+    key_of: np.ndarray
+    need: np.ndarray
 
 
 def _rows(words: list[str], place: dict[str, int], weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """TF-IDF of each passage (word places, weights), normalised. With sqrt(tf), squared weights add up by occurrence."""
     out = []
     for s, e in passages(len(words)):
-        tf = Counter(place[w] for w in words[s:e] if place.get(w, UNKNOWN) >= 0)
+        tf = Counter(place[w] for w in words[s:e] if 0 <= place.get(w, UNKNOWN) < len(weight))
         at = np.fromiter(tf, np.int64, len(tf))
         value = np.sqrt(np.fromiter(tf.values(), np.float64, len(tf))) * weight[at]
         out.append((at, value / max(1e-12, float(np.linalg.norm(value)))))
@@ -147,7 +155,8 @@ def build_index(items: DataFrame, frequencies: dict[str, int], n_docs: int, sett
     stop = settings.common * n_docs
     vocabulary = sorted({w for _, words in listed for w in words})
     useful = [w for w in vocabulary if frequencies.get(w, 0) <= stop] or vocabulary
-    place = dict.fromkeys(vocabulary, STOP) | {w: i for i, w in enumerate(useful)}
+    kept = set(useful)
+    place = {w: i for i, w in enumerate(useful + [w for w in vocabulary if w not in kept])}
     weight = np.array([max(idf(w), 1e-3) ** 2 for w in useful])
     n_passages = sum(len(passages(len(words))) for _, words in listed)
     vectors = randomised_svd(items, place, weight, min(len(useful), n_passages + settings.extra), settings.energy)
@@ -157,8 +166,12 @@ def build_index(items: DataFrame, frequencies: dict[str, int], n_docs: int, sett
             z = value @ vectors[at]
             folded.append(z / max(1e-12, float(np.linalg.norm(z))))
             owner.append(i)
-    answers = [frozenset(sorted({w for w in words if place[w] >= 0}, key=lambda w: (-weight[place[w]], w))[: settings.answer_words]) for _, words in listed]
-    return Index(place, weight, float((weight**2).mean()), vectors, np.array(folded, np.float32), np.array(owner), listed, answers)
+    rarest = lambda words: sorted(set(words), key=lambda w: (frequencies.get(w, 0), w))[: settings.answer_words]
+    answers = [frozenset(rarest([w for w in words if w in kept] or words)) for _, words in listed]
+    keys = [[place[w] for w in rarest(words[s:e])] for _, words in listed for s, e in passages(len(words))]
+    keyed = np.array(sorted((x, i) for i, k in enumerate(keys) for x in k), np.int64)
+    need = np.array([(len(k) + 1) // 2 for k in keys])
+    return Index(place, weight, float((weight**2).mean()), vectors, np.array(folded, np.float32), np.array(owner), listed, answers, keyed[:, 0], keyed[:, 1], need)
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -182,6 +195,28 @@ def confirm(words: list[str], start: int, item: list[str], answer: frozenset[str
     return (common_subsequence(item, near) / len(item) if answered >= settings.answer else 0.0), answered
 
 
+def by_keys(full: np.ndarray, half: np.ndarray, starts: np.ndarray, index: Index) -> Iterator[tuple[int, int]]:
+    """(passage, place of the item) of passages that have enough of an item passage's rarest words. full: words' places, half: their halves."""
+    first = np.searchsorted(index.keyed, np.arange(len(index.place) + 1))
+    lists = np.append(np.diff(first), 0)  # item passages of each place; the last is of unknown words
+    hit = np.flatnonzero(lists[full] > 0) if len(full) else np.zeros(0, np.int64)
+    seen = np.concatenate([half[hit], half[hit] - 1])
+    seen, place = np.divmod(np.unique((seen * len(lists) + np.tile(full[hit], 2))[(seen >= 0) & starts[np.maximum(seen, 0)]]), len(lists))
+    enough = np.bincount(seen, minlength=len(starts))[seen] >= index.need.min()
+    seen, place = seen[enough], place[enough]
+    ends = np.cumsum(lists[place])
+    for s in range(0, len(seen), PRODUCT):  # passages never end up in two parts: each part takes whole ones
+        lo, hi = np.searchsorted(seen, (seen[s], seen[s + PRODUCT] if s + PRODUCT < len(seen) else len(starts)))
+        if lo == hi:
+            continue
+        n = lists[place[lo:hi]]
+        entry = np.repeat(first[place[lo:hi]], n) + np.arange(n.sum()) - np.repeat(ends[lo:hi] - n - (ends[lo] - n[0]), n)
+        pair, count = np.unique(np.repeat(seen[lo:hi], n) * len(index.need) + index.key_of[entry], return_counts=True)
+        p, o = np.divmod(pair, len(index.need))
+        good = count >= index.need[o]
+        yield from zip(p[good].tolist(), index.owner[o[good]].tolist(), strict=True)
+
+
 def matches(texts: list[str], index: Index, settings: Settings) -> Iterator[tuple[int, int, float, float]]:
     """(place of the text, item_id, common subsequence share, cosine) of each item found in each text, with its best figures.
 
@@ -194,16 +229,18 @@ def matches(texts: list[str], index: Index, settings: Settings) -> Iterator[tupl
     total = int((halves + 1).sum())
     if not sizes.sum():
         return
-    at = np.fromiter(map(index.place.get, chain.from_iterable(listed), repeat(UNKNOWN)), np.int64, int(sizes.sum()))
+    full = np.fromiter(map(index.place.get, chain.from_iterable(listed), repeat(UNKNOWN)), np.int64, int(sizes.sum()))
+    at = np.where(full < len(index.weight), full, STOP)
     first = np.cumsum(sizes) - sizes
     half = np.repeat(base, sizes) + (np.arange(len(at)) - np.repeat(first, sizes)) // HALF
     pair = lambda w: (x := np.bincount(half, weights=w, minlength=total + 1))[:-1] + x[1:]
     known = pair(np.where(at >= 0, index.weight[np.maximum(at, 0)] ** 2, 0))
     norm = known + pair(np.where(at == UNKNOWN, index.other, 0))
     strong = (known > 0) & (known >= settings.cosine**2 * norm)
-    strong[base[halves > 1] + halves[halves > 1] - 1] = False  # the last half starts no passage of its own
-    strong[base + halves] = False
-    passage = np.flatnonzero(strong)
+    starts = np.ones(total, bool)
+    starts[base[halves > 1] + halves[halves > 1] - 1] = False  # the last half starts no passage of its own
+    starts[base + halves] = False
+    passage = np.flatnonzero(strong & starts)
     row = np.full(total + 1, -1)
     row[passage] = np.arange(len(passage))
     # occurrences of benchmark words in strong passages: a half belongs to its own passage and to the one before
@@ -218,8 +255,18 @@ def matches(texts: list[str], index: Index, settings: Settings) -> Iterator[tupl
     owner, place = key // len(index.weight), key % len(index.weight)
     value = (np.sqrt(tf) * index.weight[place]).astype(np.float32)
     cuts = np.searchsorted(owner, np.arange(len(passage)))
-    document = np.searchsorted(base, passage, "right") - 1
     found: dict[tuple[int, int], tuple[float, float]] = {}
+
+    def check(p: int, o: int, c: float) -> None:
+        d = int(np.searchsorted(base, p, "right")) - 1
+        item_id, item = index.items[o]
+        best = found.get((d, item_id))
+        if best and best[0] == 1:
+            return
+        share, _ = confirm(listed[d], int(p - base[d]) * HALF, item, index.answers[o], settings)
+        if share >= settings.lcs:
+            found[d, item_id] = max(best or (0.0, 0.0), (share, c))
+
     for s in range(0, len(passage), PRODUCT):
         e = min(s + PRODUCT, len(passage))
         lo, hi = cuts[s], cuts[e] if e < len(passage) else len(key)
@@ -230,14 +277,9 @@ def matches(texts: list[str], index: Index, settings: Settings) -> Iterator[tupl
             k = (s + p, int(index.owner[o]))
             pairs[k] = max(pairs.get(k, 0.0), float(cosine[p, o]))
         for (p, o), c in pairs.items():
-            d = int(document[p])
-            item_id, item = index.items[o]
-            best = found.get((d, item_id))
-            if best and best[0] == 1:
-                continue
-            share, _ = confirm(listed[d], int(passage[p] - base[d]) * HALF, item, index.answers[o], settings)
-            if share >= settings.lcs:
-                found[d, item_id] = max(best or (0.0, 0.0), (share, c))
+            check(int(passage[p]), o, c)
+    for p, o in sorted(set(by_keys(full, half, starts, index))):
+        check(p, o, 0.0)
     for (d, item_id), (share, c) in sorted(found.items()):
         yield d, item_id, share, c
 
