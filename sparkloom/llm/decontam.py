@@ -289,12 +289,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
 
     lcs is the share of the item's words that stand in the document's passage in order. docs (doc_id, text),
     benchmark (item_id, text). Nulls: null and empty texts match nothing; a null doc_id is kept, items
-    with a null item_id are ignored. Repeated documents come back repeated, repeated items once. An empty
-    table on either side gives an empty result.
+    with a null item_id are ignored. Repeated documents come back repeated, repeated items once. Differing
+    texts of an item_id are variants of one item and stay in one group. An empty table
+    on either side gives an empty result.
     """
     spark, schema = docs.sparkSession, "doc_id long, item_id long, lcs double, cosine double"
     rows = id_text(docs)
-    items = id_text(benchmark, "item_id").where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    items = id_text(benchmark, "item_id").where("item_id is not null and text is not null").distinct()
     if is_empty(items):
         return spark.createDataFrame([], schema)
     groups = math.ceil(items.count() / GROUP)

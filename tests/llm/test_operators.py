@@ -414,16 +414,18 @@ def test_decontamination(spark):
     assert left.columns == df.columns and {x.doc_id for x in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
-def test_decontamination_finds_a_hot_item(spark):
+def test_decontamination_finds_a_hot_item_and_every_text_of_an_item(spark):
     r = random.Random(8)
     items = [(i, " ".join(r.randbytes(3).hex() for _ in range(24))) for i in range(6)]
+    items.append((5, " ".join(r.randbytes(3).hex() for _ in range(24))))
     rows, expected = [], set()
     for i in range(120):
         words = [r.randbytes(3).hex() for _ in range(r.randrange(60, 200))]
-        held = {0} if i < 50 else {5} if i == 60 else set()
+        held = {0} if i < 50 else {5} if i in (60, 61) else set()
         for item in held:
+            text = items[6][1] if i == 61 else items[item][1]
             at = r.randrange(len(words))
-            words[at:at] = items[item][1].split()
+            words[at:at] = text.split()
         expected |= {(i, x) for x in held}
         rows.append((i, " ".join(words)))
     found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
