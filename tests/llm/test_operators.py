@@ -158,7 +158,7 @@ def test_similar_groups_whose_base_has_a_middle_id(spark, base):
     r = random.Random(4)
     words = [r.randbytes(4).hex() for _ in range(244)]
     rows = [(1000, " ".join(words))] if base else []
-    for i in range(300):  # similar to the base only: 0.83, and about 0.7 among themselves
+    for i in range(300):  # 0.83 similar to the base, most pairs about 0.7; without the base a few close pairs chain them all
         w = list(words)
         start = r.randrange(50)
         for k in range(4):
@@ -171,7 +171,6 @@ def test_similar_groups_whose_base_has_a_middle_id(spark, base):
         label = np.where(near, label, 1 << 40).min(axis=1)
     found = simhash_similarity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.component_id for x in found} == dict(zip([i for i, _ in rows], label.tolist(), strict=True))
-    assert (len(set(label.tolist())) == 1) == base
 
 
 def test_block_links_find_what_hubs_miss():
