@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch. Texts may be long; a single one may exceed this and is never cut.
 BATCH_BYTES = 8 << 20
+#: Keys looked up by broadcast hold more than this part of all rows each (and this many rows), so there are fewer than HOT_PART of them.
+HOT_PART, HOT_LEAST = 10_000, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests in one process) a temporary folder is made and set.
+    Where that is unset, a folder of the driver's own is made only if all runs in one process (tests);
+    on a cluster executors couldn't see it, so that is an error.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = context.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")
@@ -89,3 +95,25 @@ def held_out(key: Column) -> Column:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def look_up(rows: DataFrame, found: DataFrame, key: str | list[str], size: str = "n") -> DataFrame:
+    """Inner join of rows with `found`, which has each key once and in `size` how many rows have it.
+
+    One key may hold a third of all rows, and a shuffle would send those to one task. Keys that hold more
+    than a ten-thousandth of all rows number fewer than ten thousand, so these are broadcast; only the
+    others' rows are shuffled. Both sides are read twice: settle them first.
+    """
+    names = [key] if isinstance(key, str) else key
+    total = found.agg(F.sum(size)).collect()[0][0] or 0
+    often = F.col(size) > max(HOT_LEAST, total // HOT_PART)
+    hot = found.where(often)
+    if is_empty(hot):
+        return rows.join(found, names)
+    rest = rows.join(F.broadcast(hot.select(*names)), names, "left_anti").join(found.where(~often), names)
+    return rows.join(F.broadcast(hot), names).unionByName(rest)
+
+
+def first_texts(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text) that share a doc_id the one with the smallest text, null as empty."""
+    return rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))

@@ -1,13 +1,15 @@
 """SimHash near-duplicates by shingle similarity, for limits far beyond a few bits of one fingerprint.
 
-Candidates come from two searches and are checked exactly, on whole texts. One is the grid range join of
-`simhash` over the popcount embeddings of whole-document fingerprints. But fingerprints of texts with a Jaccard
-similarity of 0.8 differ in ten bits and more, which no grid can search. So, for the other, a document gets 32 keys
-of four least shingle hashes each (MinHash), whatever its length. Two texts of similarity s share a key with
-probability 1 - (1 - s^4)^32: at 0.8 they miss each other once in some twenty million cases.
+The similarity is that which SimHash estimates, the cosine of shingle sets (`measure` can be jaccard). Candidates
+come from two searches and are checked exactly, on whole texts. One is the grid range join of `simhash` over the
+popcount embeddings of whole-document fingerprints. But fingerprints of texts with a similarity of 0.8 differ in ten
+bits and more, which no grid can search. So, for the other, a document gets 48 keys of three least shingle hashes
+each (MinHash), whatever its length. Texts with a cosine of 0.8 have at least 0.64 of their shingles in common (Jaccard),
+and such texts share a key with probability 1 - (1 - 0.64^3)^48: they miss each other once in two million cases.
 
 Texts that share a key are a bucket. They first meet its hubs; then those of a bucket that are still in different
-components meet block by block, so that every pair of a bucket is linked or was checked.
+components meet each other. In a small bucket all do; in a larger one those that share one of their rarest
+shingles, as similar texts must (prefix filter), so that a passage common to the whole bucket makes no pairs.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, id_text, is_empty, map_arrow, settle
+from .common import binary_list, id_text, is_empty, look_up, map_arrow, settle
 from .components import connected_components
 from .simhash import CHUNK, embedding, links
 
 #: Keys of a text, and the least hashes in each.
-BANDS, LEAST = 32, 4
+BANDS, LEAST = 48, 3
 FLIPS, FACTORS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * LEAST, 1), np.uint64) | np.array([0, 1], np.uint64)[:, None, None]
 #: Texts and shingles of a bucket's block, and shingles compared at a time.
 BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 64, 1 << 19, 1 << 13
+#: Pairs of one hub that one task checks.
+PAIRS = 256
+MEASURES = ("cosine", "jaccard")
 
 
 def shingle_hashes(text: bytes, k: int, seed: int = 42) -> np.ndarray:
@@ -67,12 +72,13 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(least.reshape(BANDS, LEAST))]
 
 
-def similar(common: np.ndarray | int, p: np.ndarray | int, q: np.ndarray | int, similarity: float) -> np.ndarray | bool:
+def similar(common: np.ndarray | int, p: np.ndarray | int, q: np.ndarray | int, similarity: float, measure: str = "cosine") -> np.ndarray | bool:
     """Whether sets of p and q shingles with so many in common have the similarity."""
-    return (common >= similarity * (p + q - common)) & (p > 0)
+    least = similarity * (np.sqrt(p * q) if measure == "cosine" else p + q - common)
+    return (common >= least - 1e-9) & (common > 0)
 
 
-def block_links(sets: list[np.ndarray], labels: list[int], similarity: float) -> list[tuple[int, int]]:
+def block_links(sets: list[np.ndarray], labels: list[int], similarity: float, measure: str = "cosine") -> list[tuple[int, int]]:
     """Places of similar sets of different labels, as many as link those labels."""
     sizes = np.array([len(x) for x in sets])
     found, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -87,7 +93,7 @@ def block_links(sets: list[np.ndarray], labels: list[int], similarity: float) ->
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[row[lo:hi], column[lo:hi] - start] = 1
         common += part @ part.T
-    near = similar(common, sizes[:, None], sizes, similarity)
+    near = similar(common, sizes[:, None].astype(np.float64), sizes, similarity, measure)
     roots = {x: x for x in labels}
 
     def root(x: int) -> int:
@@ -104,18 +110,70 @@ def block_links(sets: list[np.ndarray], labels: list[int], similarity: float) ->
     return out
 
 
-def _rest(shared: DataFrame, hubs: DataFrame, edges: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, words_in_shingle: int) -> DataFrame | None:
+class Texts:
+    """Whole texts of nodes. Rows that share a node's doc_id but not its digest are dropped where a text is read."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame) -> None:
+        self.rows, self.nodes = rows, nodes
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(node, digest, text) of the nodes in `wanted`."""
+        named = settle(self.nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest"))
+        return named.join(self.rows, "doc_id").select("node", "digest", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _digest(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
+
+
+def _rare(members: DataFrame, texts: Texts, similarity: float, words_in_shingle: int, measure: str) -> DataFrame:
+    """Members of large buckets dealt anew, by the bucket and one of the rarest shingles that they share in it.
+
+    A set shares similarity^2 (cosine) or similarity (jaccard) of its shingles with a similar one at least. So if each
+    leaves out fewer of its shingles than that, in an order common to all, a pair that is similar still shares one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, every = batch.column(3).to_pylist(), binary_list(batch, "text")
+            for i, text in enumerate(every):
+                if _digest(text) == digests[i]:
+                    h = shingle_hashes(text, words_in_shingle).view(np.int64)
+                    same = [pa.array([batch.column(c)[i].as_py()] * len(h), pa.int64()) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(h), pa.array([len(h)] * len(h), pa.int64())], ["key", "node", "label", "h", "size"])
+
+    held = members.select("key", "node", "label").join(texts.of(members), "node").select("key", "node", "label", "digest", "text")
+    tokens = settle(map_arrow(held, run, "key long, node long, label long, h long, size long").distinct())
+    often = settle(tokens.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n")))
+    ranked = look_up(tokens, often, ["key", "h"])
+    first = ranked.groupBy("key", "node", "label", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("all"))
+    share = F.lit(similarity**2 if measure == "cosine" else similarity)
+    kept = F.slice("all", 1, (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int"))
+    rare = first.select("key", "node", "label", "size", F.explode(F.filter(kept, lambda x: x["n"] > 1)).alias("x"))
+    return rare.select(F.xxhash64("key", "x.h").alias("key"), "node", "label", "size")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets with more than one label."""
+    labels = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return settle(members.join(labels, "key"))
+
+
+def _rest(shared: DataFrame, hubs: DataFrame, edges: DataFrame, nodes: DataFrame, texts: Texts, similarity: float, words_in_shingle: int, measure: str) -> DataFrame | None:
     """(src, dst) between texts of a bucket that edges leave in different components, hubs apart; None if there are no such texts.
 
     The texts outside a bucket's largest component meet each other and those inside it, in blocks of bounded size.
     """
     roots = connected_components(edges)
     apart = shared.join(hubs, "key").where("not array_contains(hubs, node)").select("key", "node")
-    apart = settle(apart.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
-    open_keys = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    members = settle(apart.join(open_keys, "key").join(nodes.select("node", "size"), "node"))
+    apart = apart.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    members = _open(settle(apart.join(nodes.select("node", "size"), "node")))
     if is_empty(members):
         return None
+    big = settle(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_TEXTS).select("key"))
+    if not is_empty(big):
+        rare = _rare(members.join(big, "key", "left_semi"), texts, similarity, words_in_shingle, measure)
+        members = _open(settle(members.join(big, "key", "left_anti").unionByName(rare)))
     labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     top = labels.groupBy("key").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_TEXTS, size / BLOCK_SHINGLES)).cast("int")
@@ -126,50 +184,95 @@ def _rest(shared: DataFrame, hubs: DataFrame, edges: DataFrame, nodes: DataFrame
     among = F.transform(numbers("outside"), lambda x: meeting(False, F.least("block", x), F.greatest("block", x)))
     across = F.transform(numbers("inside"), lambda x: meeting(True, F.col("block"), x))
     visits = F.when(F.col("label") == F.col("main"), F.transform(numbers("outside"), lambda x: meeting(True, x, F.col("block")))).otherwise(F.concat(among, across))
+    # blocks of different buckets that hold the same texts meet once
     dealt = dealt.select("key", "node", "label", F.explode(visits).alias("visit"))
-    texts = rows.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
-    met = dealt.join(texts, "node").groupBy("key", "visit").agg(F.collect_list("node").alias("nodes"), F.collect_list("label").alias("labels"), F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    met = dealt.groupBy("key", "visit").agg(F.sort_array(F.collect_set(F.struct("node", "label"))).alias("all")).select("all").distinct()
+    met = settle(met.where(F.size("all") > 1).select(F.monotonically_increasing_id().alias("block"), "all"))
+    single = met.select("block", F.explode("all").alias("x")).select("block", "x.node", "x.label")
+    met = single.join(texts.of(single), "node").groupBy("block").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("node", "label", "digest", "text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
-                at, labels, texts = (batch.column(c)[i].as_py() for c in range(3))
-                out += [(at[x], at[y]) for x, y in block_links([shingle_hashes(t.encode(), words_in_shingle) for t in texts], labels, similarity)]
+                found = {n: (label, text) for n, label, digest, text in zip(*(batch.column(c)[i].as_py() for c in range(4)), strict=True) if _digest(text.encode()) == digest}
+                at = list(found)
+                sets = [shingle_hashes(t.encode(), words_in_shingle) for _, t in found.values()]
+                out += [(at[x], at[y]) for x, y in block_links(sets, [x for x, _ in found.values()], similarity, measure)]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], ["src", "dst"])
 
-    return map_arrow(met.select("nodes", "labels", "texts"), run, "src long, dst long")
+    return map_arrow(met.select("nodes", "labels", "digests", "texts"), run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id): groups of documents linked by a Jaccard similarity of their shingle sets of at least `similarity`.
+def _checked(pairs: DataFrame, texts: Texts, similarity: float, words_in_shingle: int, measure: str) -> DataFrame:
+    """(src, dst): the pairs (a, b) whose whole texts are similar.
+
+    The end with more pairs, which may be a hub of a very large bucket, is dealt over as many places as its pairs need,
+    and its text goes to each of them.
+    """
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    ends = settle(ends)
+    counted = pairs.join(ends.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(ends.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    less = F.col("n_a") < F.col("n_b")
+    sides = counted.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("dst"), F.greatest("n_a", "n_b").alias("n"))
+    places = lambda n: F.ceil(n / PAIRS).cast("int")
+    sides = settle(sides.withColumn("place", F.pmod(F.xxhash64("src"), places(F.col("n"))).cast("int")))
+    known = texts.of(ends)
+    near = known.select(F.col("node").alias("src"), F.col("digest").alias("digest_a"), F.col("text").alias("text_a"))
+    hubs = sides.groupBy("dst").agg(F.max("n").alias("n"))
+    far = known.join(hubs.withColumnRenamed("dst", "node"), "node").select(F.col("node").alias("dst"), F.explode(F.sequence(F.lit(0), places(F.col("n")) - 1)).alias("place"), F.col("digest").alias("digest_b"), F.col("text").alias("text_b"))
+    both = sides.join(near, "src").join(far, ["dst", "place"]).select("src", "dst", "digest_a", "digest_b", "text_a", "text_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, p = b"", np.zeros(0, np.uint64)
+        for batch in batches:
+            keep = []
+            sides = (batch.column(2).to_pylist(), batch.column(3).to_pylist(), binary_list(batch, "text_a"), binary_list(batch, "text_b"))
+            for digest_a, digest_b, x, y in zip(*sides, strict=True):
+                if y != last:  # the pairs of a hub follow each other
+                    last, p = y, shingle_hashes(y, words_in_shingle)
+                if _digest(x) != digest_a or _digest(y) != digest_b:
+                    keep.append(False)
+                    continue
+                q = shingle_hashes(x, words_in_shingle)
+                keep.append(bool(similar(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), similarity, measure)))
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(both, check, "src long, dst long").distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle: int = 5, measure: str = "cosine") -> DataFrame:
+    """(doc_id, component_id): groups of documents linked by a similarity of their shingle sets of at least `similarity`.
 
     Texts that are equal after lower-casing A-Z and joining words by one space are one node. Nodes that share a key meet three
     hubs, the one with the most company over all its keys among them, and then whoever is still in another component;
     each meeting is checked on the whole texts.
     Nulls: a null text counts as empty; texts without words are one group. A null doc_id gets a null
-    component and takes no part. Repeated rows come back repeated; an empty table gives an empty result.
+    component and takes no part. Repeated rows come back repeated, and rows that share a doc_id but not the text
+    are judged each by its text; an empty table gives an empty result.
     """
-    rows = id_text(docs)
+    if measure not in MEASURES or not 0 < similarity <= 1:
+        raise ValueError(f"a similarity is above 0 and at most 1, by {' or '.join(MEASURES)}")
+    rows = id_text(docs).where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary_list(batch, "text")
-            digests = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
-            hashes = [shingle_hashes(t, words_in_shingle) for t in texts]
-            keys = [band_keys(h) for h in hashes]
+            listed = binary_list(batch, "text")
+            hashes = [shingle_hashes(t, words_in_shingle) for t in listed]
             prints = np.array([majority(h) for h in hashes], np.uint64)
-            columns = [pa.array(digests, pa.binary()), pa.array(prints.view(np.int64)), pa.array(embedding(prints).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array([len(h) for h in hashes], pa.int64())]
+            columns = [pa.array(map(_digest, listed), pa.binary()), pa.array(prints.view(np.int64)), pa.array(embedding(prints).view(np.int64)), pa.array(map(band_keys, hashes), pa.list_(pa.int64())), pa.array(map(len, hashes), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "digest", "fp", "cell", "keys", "size"])
 
-    made = settle(map_arrow(rows.where("doc_id is not null"), run, "doc_id long, digest binary, fp long, cell long, keys array<long>, size long"))
-    owners = settle(made.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    nodes = made.join(owners.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).groupBy(F.col("doc_id").alias("node")).agg(*[F.first(c).alias(c) for c in ("fp", "cell", "keys", "size")])
-    nodes = settle(nodes)
-    prints = settle(nodes.groupBy("fp", "cell").agg(F.min("node").alias("node")))
-    alike = nodes.join(prints.select("fp", F.col("node").alias("b")), "fp").select(F.col("node").alias("a"), "b").where("a <> b")
+    made = settle(map_arrow(rows, run, "doc_id long, digest binary, fp long, cell long, keys array<long>, size long"))
+    # nodes are numbered, for two texts may have one smallest doc_id; components are named by doc_id at the end
+    owners = settle(made.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    held = made.join(owners.select("digest", "doc_id", "node"), ["digest", "doc_id"]).dropDuplicates(["node"])
+    nodes = settle(held.select("node", "doc_id", "digest", "fp", "cell", "size", "keys"))
+    texts = Texts(rows, nodes)
+    prints = settle(nodes.groupBy("fp", "cell").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")))
+    alike = look_up(nodes.select("fp", "node"), prints.select("fp", "n", F.col("node").alias("b")), "fp").select(F.col("node").alias("a"), "b").where("a <> b")
     alike = alike.union(links(prints).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    spread = settle(nodes.select("node", F.explode("keys").alias("key")))
+    spread = nodes.select("node", F.explode("keys").alias("key"))
     met = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.min(F.struct(F.xxhash64("node", "key"), F.col("node").alias("any"))).getField("any").alias("any"))
     met = settle(met.where("n > 1"))
     shared = settle(spread.join(met.select("key", "n"), "key"))
@@ -178,22 +281,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle:
     hubs = settle(met.join(most, "key").select("key", F.array_distinct(F.array("low", "any", "most")).alias("hubs")))
     pairs = shared.join(hubs, "key").select(F.col("node").alias("a"), F.explode("hubs").alias("b")).where("a <> b").union(alike)
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    texts = rows.join(settle(pairs.select("a").union(pairs.select(F.col("b"))).distinct().withColumnRenamed("a", "doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(binary_list(batch, "text_a"), binary_list(batch, "text_b"), strict=True):
-                p, q = shingle_hashes(x, words_in_shingle), shingle_hashes(y, words_in_shingle)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(similar(common, len(p), len(q), similarity))
-            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-    edges = settle(map_arrow(both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "text_a", "text_b"), check, "src long, dst long"))
-    rest = _rest(shared, hubs, edges, nodes, rows, similarity, words_in_shingle)
+    edges = settle(_checked(pairs, texts, similarity, words_in_shingle, measure))
+    rest = _rest(shared, hubs, edges, nodes, texts, similarity, words_in_shingle, measure)
     edges = edges if rest is None else edges.union(rest)
     roots = connected_components(edges)
-    named = settle(owners.join(roots, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")))
-    known = made.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
-    return known.union(rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long")))
+    named = settle(owners.join(roots, "node", "left").select("digest", "doc_id", "n", F.coalesce("component", "node").alias("group")))
+    least = settle(named.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("texts")))
+    named = settle(look_up(named.select("digest", "n", "group"), least, "group", "texts").select("digest", "n", "component_id"))
+    known = look_up(made.select("doc_id", "digest"), named, "digest").select("doc_id", "component_id")
+    return known.union(id_text(docs).where("doc_id is null").select("doc_id", F.lit(None).cast("long")))

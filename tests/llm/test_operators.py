@@ -92,11 +92,11 @@ def test_simhash_against_brute_force(odd):
     assert all(r.component_id == expected.get(r.doc_id) for r in rows)
 
 
-@pytest.mark.parametrize("max_bits", [0, 1, 2])
-def test_simhash_links_all_near_fingerprints(spark, max_bits):
+@pytest.mark.parametrize("max_bits, cell", [(0, 2048), (1, 2048), (2, 2048), (2, 3), (1, 3), (3, 2048)])
+def test_simhash_links_all_near_fingerprints(spark, max_bits, cell):
     r = random.Random(max_bits)
     words = set()
-    for _ in range(60):
+    for _ in range(60 if max_bits < 3 else 12):
         w = r.getrandbits(64)
         for _ in range(r.choice([1, 1, 3, 30])):
             words.add(w)
@@ -107,12 +107,13 @@ def test_simhash_links_all_near_fingerprints(spark, max_bits):
     cells = simhash.embedding(np.array(listed, np.uint64)).view(np.int64).tolist()
     signed = np.array(listed, np.uint64).view(np.int64).tolist()
     nodes = spark.createDataFrame(list(zip(signed, cells, range(len(listed)), strict=True)), "fp long, cell long, node long")
-    found = {x.node: x.component for x in connected_components(simhash.links(nodes, max_bits)).collect()}
+    found = {x.node: x.component for x in connected_components(simhash.links(nodes, max_bits, cell)).collect()}
     label = components(list(range(len(listed))), lambda i, j: (listed[i] ^ listed[j]).bit_count() <= max_bits)
     assert [found.get(i, i) for i in range(len(listed))] == label
 
 
-def test_similarity_links_against_brute_force(spark, odd):
+@pytest.mark.parametrize("measure", simhash_similarity.MEASURES)
+def test_similarity_links_against_brute_force(spark, odd, measure):
     r = random.Random(9)
     rows, n = [], 1000
     for _ in range(25):
@@ -128,7 +129,13 @@ def test_similarity_links_against_brute_force(spark, odd):
         return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
     sets = [shingles(d.text) for d in docs]
-    alike = lambda i, j: (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) if sets[i] or sets[j] else True
+
+    def alike(i, j):
+        common, p, q = len(sets[i] & sets[j]), len(sets[i]), len(sets[j])
+        if not p or not q:
+            return p == q
+        return common**2 >= 0.64 * p * q - 1e-9 if measure == "cosine" else common >= 0.8 * (p + q - common) - 1e-9
+
     label = list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
@@ -139,17 +146,17 @@ def test_similarity_links_against_brute_force(spark, odd):
     for d, x in zip(docs, label, strict=True):
         least[x] = min(least.get(x, d.doc_id), d.doc_id)
     expected = {d.doc_id: least[x] for d, x in zip(docs, label, strict=True)}
-    found = simhash_similarity.near_duplicates(df).collect()
+    found = simhash_similarity.near_duplicates(df, measure=measure).collect()
     assert len(found) == df.count()
     assert {x.doc_id: x.component_id for x in found} == expected | {None: None}
 
 
 def test_similar_texts_share_a_key_at_every_length():
     r = np.random.default_rng(3)
-    for n in (4, 5, 8, 12, 16, 36, 76, 190, 300, 1200):  # shingles; as many are added as a similarity of 0.8 allows
+    for n in (4, 5, 8, 12, 16, 36, 76, 190, 300, 1200):  # shingles; as many are added as a cosine of 0.8 allows
         for _ in range(100):
             a = r.integers(0, 1 << 64, n, np.uint64)
-            b = np.concatenate([a, r.integers(0, 1 << 64, n // 4, np.uint64)])
+            b = np.concatenate([a, r.integers(0, 1 << 64, n * 9 // 16, np.uint64)])
             assert set(simhash_similarity.band_keys(a)) & set(simhash_similarity.band_keys(b))
 
 
@@ -158,14 +165,14 @@ def test_similar_groups_whose_base_has_a_middle_id(spark, base):
     r = random.Random(4)
     words = [r.randbytes(4).hex() for _ in range(244)]
     rows = [(1000, " ".join(words))] if base else []
-    for i in range(300):  # 0.83 similar to the base, most pairs about 0.7; without the base a few close pairs chain them all
+    for i in range(300):  # without the base a few close pairs chain some
         w = list(words)
         start = r.randrange(50)
-        for k in range(4):
-            w[start + 50 * k] = r.randbytes(4).hex()
+        for k in range(9):  # 45 of 240 shingles: a cosine of 0.81 to the base, most pairs about 0.7
+            w[start // 2 + 25 * k] = r.randbytes(4).hex()
         rows.append((850 + i + (i >= 150), " ".join(w)))
     sets = [set(simhash_similarity.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
-    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    near = np.array([[len(a & b) >= 0.8 * (len(a) * len(b)) ** 0.5 - 1e-9 for b in sets] for a in sets])
     label = np.array([i for i, _ in rows])
     for _ in rows:
         label = np.where(near, label, 1 << 40).min(axis=1)
@@ -176,7 +183,7 @@ def test_similar_groups_whose_base_has_a_middle_id(spark, base):
 def test_block_links_find_what_hubs_miss():
     r = np.random.default_rng(6)
     base = r.integers(0, 1 << 64, 240, np.uint64)
-    sets = [np.unique(np.concatenate([base[: 240 - 22], r.integers(0, 1 << 64, 22, np.uint64)])) for _ in range(3)] + [r.integers(0, 1 << 64, 50, np.uint64)]
+    sets = [np.unique(np.concatenate([base[: 240 - 40], r.integers(0, 1 << 64, 40, np.uint64)])) for _ in range(3)] + [r.integers(0, 1 << 64, 50, np.uint64)]
     assert len(simhash_similarity.block_links(sets, [0, 1, 2, 3], 0.8)) == 2
     assert simhash_similarity.block_links(sets, [0, 0, 0, 3], 0.8) == []
 
