@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each near-duplicate group the document with the smallest doc_id.
 
-    Groups are linked by a similarity of 0.8 or more of five-word shingle sets, found by SimHash and checked exactly.
+    Groups are linked by a similarity (cosine) of 0.8 or more of five-word shingle sets, which is checked exactly.
     """
     groups = simhash_similarity.near_duplicates(docs, similarity=0.8, words_in_shingle=5)
     copies = settle(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
