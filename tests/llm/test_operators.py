@@ -264,11 +264,56 @@ def test_nearest_without_candidates(spark):
     assert ann.nearest(df, df).count() == 0
 
 
-def test_tile_bounds_hold():
-    r = np.random.default_rng(3)
-    x = r.normal(0, 1, (300, 24))
-    codes, scale, error = ann.quantise(x)
-    assert np.allclose(np.linalg.norm(x - codes * scale[:, None], axis=1), error) and np.abs(codes).max() <= 127
+def kinds_of_vectors(r, n, dim):
+    hot = np.eye(dim)[r.integers(0, dim, n)]
+    yield "normal", r.normal(0, 1, (n, dim))
+    yield "one-hot", hot
+    yield "nearly one-hot", hot + r.normal(0, 1, (n, dim)) * 10.0 ** r.uniform(-12, -6, (n, 1))
+    yield "sparse", np.where(r.random((n, dim)) < 0.1, r.integers(-3, 4, (n, dim)), 0).astype(float) + hot
+    yield "near-equal", r.normal(0, 1, dim) + r.normal(0, 1, (n, dim)) * 10.0 ** r.uniform(-14, -3, (n, 1))
+    yield "huge", r.normal(0, 1, (n, dim)) * 10.0 ** r.uniform(100, 300, (n, 1))
+    yield "tiny", r.normal(0, 1, (n, dim)) * 10.0 ** r.uniform(-320, -100, (n, 1)) + 5e-324
+    yield "mixed", r.normal(0, 1, (n, dim)) * 10.0 ** r.uniform(-30, 30, (n, 1))
+
+
+@pytest.mark.parametrize("dim", [1, 3, 24, 64, 1100])
+def test_bounds_hold(dim):
+    r = np.random.default_rng(dim)
+    for name, x in kinds_of_vectors(r, 120, dim):
+        side = {"ids": np.arange(len(x)), **dict(zip(("codes", "scale", "error"), ann.quantise(x), strict=True))}
+        lower, upper = ann.bounds(side, side)
+        exact = np.array([ann.distances(np.broadcast_to(a, x.shape), x) for a in x])
+        assert (lower <= exact).all() and (exact <= upper).all(), name
+        assert np.abs(side["codes"]).max() <= 127
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_candidates_keep_the_nearest(k):
+    r = np.random.default_rng(k)
+    for name, x in kinds_of_vectors(r, 300, 16):
+        side = {"ids": np.arange(300), **dict(zip(("codes", "scale", "error"), ann.quantise(x), strict=True))}
+        part = lambda at: {c: v[at] for c, v in side.items()}  # noqa: E731,B023
+        found = ann.Candidates(k)
+        for s in range(0, 300, 70):
+            found.tiles(part(slice(0, 40)), part(slice(s, s + 70)))
+        q, c, _, _ = found.prune()
+        for i in range(40):
+            d = ann.distances(np.broadcast_to(x[i], x.shape), x)
+            best = [j for j in np.lexsort((np.arange(300), d)).tolist() if j != i][:k]
+            assert set(best) <= set(c[q == i].tolist()), name
+
+
+def test_nearest_serves_every_length_of_vectors(spark):
+    r = np.random.default_rng(2)
+    x = {i: r.normal(0, 1, 2 if i % 3 else 3).tolist() for i in range(0, 1000, 4)} | {7: [1.0], 100: [1.0, 2.0, 3.0], 500: [0.5]}
+    rows = [(i, v) for i, v in x.items()] + [(100, [9.0, 9.0, 9.0]), (8, x[8]), (8, x[8])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for row in ann.nearest(df, df.where("vec_id % 100 = 0"), 5).orderBy("query_id", "rank").collect():
+        found[row.query_id].append((row.vec_id, row.score))
+    for q in range(0, 1000, 100):
+        near = sorted((float(ann.distances(np.array([v]), np.array([x[q]]))[0]), i) for i, v in rows if i != q and len(v) == len(x[q]))[:5]
+        assert found[q] == [(i, d) for d, i in near]
 
 
 # WARC
