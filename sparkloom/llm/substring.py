@@ -1,28 +1,30 @@
 """Substring dedup with a count-min prefilter.
 
-1. Every window of 50 words has a 128-bit rolling hash and, as its sketch key, the smallest hash of
-   its 20-word grams. Equal windows have equal keys, so the number of documents with a key is at
-   least the number with the window: counting keys overestimates window counts, and as neighbouring
+1. Every word has a 128-bit XXH3 hash. Every window of 50 words has a 128-bit rolling hash of those and, as its
+   sketch key, the smallest hash of its 20-word grams. Equal windows have equal keys, so the number of documents with
+   a key is at least the number with the window: counting keys overestimates window counts, and as neighbouring
    windows share keys a sketch takes about a sixteenth of the increments.
-2. Each task makes a sparse count-min sketch (two rows of 2^27 counters that stop at 2) of its
-   documents; merging adds the counters. Only one bit a counter is needed after that ("two or more"),
-   so what is broadcast is 32 MB at every input size.
+2. Each task makes a sparse count-min sketch (two rows of counters that stop at 2) of its documents; merging adds
+   the counters. Only one bit a counter is needed after that ("two or more"). Counters are sized by the input, up to
+   2^29 a row, so at most 128 MB are broadcast; a fuller sketch lets more windows through and changes no result.
 3. The second pass emits only windows whose key is estimated in two documents or more and finds each
    one's first document by an aggregate with map-side combining, so a window in a third of all
    documents costs a row a task. Overestimates only let more windows through; none is lost.
 4. The third pass removes from each document the words of estimated windows whose first document
    is another one. The join is on doc_id, so no window's popularity skews it.
+Windows are equal if both 64-bit halves of their hashes are: for 10^15 windows the chance of any two that differ is below 10^-8.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,54 +32,45 @@ from pyspark.sql import types as T
 from .common import binary_list, id_text, map_arrow, small_batches
 
 ROWS, SHARD_BITS = 2, 21
-#: What separates words: space and U+0009 to U+000D.
-WHITE = b" \t\n\x0b\f\r"
-GAP, SLICE = re.compile(b"[%s]" % WHITE), 1 << 22
-#: Keys a task gathers before it emits what it has.
-KEYS = 1 << 21
+#: Counters of a sketch row: sixteen for each expected key, and bounds of their number in bits.
+SPARE, LEAST_BITS, MOST_BITS = 16, 20, 29
+#: Keys a task gathers before it emits what it has, and words whose hashes it keeps.
+KEYS, WORDS = 1 << 21, 1 << 19
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 class WordHashes:
-    """128-bit hashes of all words of some texts, made on whole arrays of bytes.
+    """128-bit XXH3 hashes of words, kept by word while there are not too many."""
 
-    A word's hash is the sum over its bytes of a random number for the byte times a power of an odd
-    base for its place, modulo 2^64, twice with other numbers. Places count through the whole array, and
-    the inverse power of a word's start brings its sum to the same scale wherever it stands.
-    """
+    class _Places(dict):
+        def __init__(self) -> None:
+            super().__init__()
+            self.made: list[bytes] = []
+
+        def __missing__(self, word: bytes) -> int:
+            self[word] = n = len(self)
+            self.made.append(xxhash.xxh3_128_digest(word))
+            return n
 
     def __init__(self) -> None:
-        self.numbers = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), np.uint64, endpoint=True)
-        self.numbers[:, list(WHITE)] = 0
-        self.inverses = [np.uint64(pow(int(b), -1, 1 << 64)) for b in BASES]
-        self._extend(1 << 16)
+        self._renew()
 
-    def _extend(self, n: int) -> None:
-        self.powers = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b)))) for b in BASES]
-        self.back = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, b)))) for b in self.inverses]
+    def _renew(self) -> None:
+        self.places = self._Places()
+        self.table = np.zeros((2, 0), np.uint64)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes (2, words) of the texts' words one after another, and the number of words of each text."""
-        whole = b" ".join(texts)
-        raw = np.frombuffer(whole, np.uint8)
-        starts: list[np.ndarray] = [np.zeros(0, np.int64)]
-        hashes: list[np.ndarray] = [np.zeros((2, 0), np.uint64)]
-        at = 0
-        while at < len(raw):  # slices that end at white space bound what a very long text takes
-            cut = GAP.search(whole, at + SLICE)
-            to = cut.start() if cut else len(raw)
-            part = raw[at:to]
-            if len(part) > len(self.powers[0]):
-                self._extend(1 << (len(part) - 1).bit_length())
-            solid = self.numbers[0][part] != 0
-            begin = np.flatnonzero(solid & np.concatenate(([True], ~solid[:-1])))
-            if len(begin):
-                starts.append(begin + at)
-                hashes.append(np.stack([_mix(np.add.reduceat(self.numbers[i][part] * self.powers[i][: len(part)], begin) * self.back[i][begin]) for i in (0, 1)]))
-            at = to
-        ends = np.cumsum([len(x) + 1 for x in texts])
-        counts = np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
-        return np.concatenate(hashes, axis=1), counts
+        if len(self.places) > WORDS:
+            self._renew()
+        listed = [x.split() for x in texts]  # ASCII white space only, as on bytes
+        counts = np.array([len(x) for x in listed], np.int64)
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(listed)), np.int64, int(counts.sum()))
+        if self.places.made:
+            new = np.frombuffer(b"".join(self.places.made), np.uint64).reshape(-1, 2).T
+            self.places.made.clear()
+            self.table = np.concatenate([self.table, new], axis=1)
+        return self.table[:, at], counts
 
 
 def _rolling(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
@@ -203,7 +196,7 @@ def partition_sketches(docs: DataFrame, window: int, gram: int, bits: int) -> Da
 
 
 def merged_sketch(docs: DataFrame, window: int, gram: int, bits: int) -> list[bytes]:
-    """For each sketch row a bitmap of the counters that are 2 or more: 2^bits bits, whatever the input."""
+    """For each sketch row a bitmap of the counters that are 2 or more: 2^bits bits."""
     size = 1 << min(bits, SHARD_BITS)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +213,16 @@ def merged_sketch(docs: DataFrame, window: int, gram: int, bits: int) -> list[by
     shards = max(1, (1 << bits) // size)
     dealt = partition_sketches(docs, window, gram, bits).repartition(min(ROWS * shards, 32), "row", "shard")
     maps = [bytearray(max(1, (1 << bits) // 8)) for _ in range(ROWS)]
-    for row, shard, cells in dealt.mapInArrow(merge, "row int, shard int, cells binary").collect():  # 32 MB at most
+    for row, shard, cells in dealt.mapInArrow(merge, "row int, shard int, cells binary").collect():  # 128 MB at most
         maps[row][shard * len(cells) : (shard + 1) * len(cells)] = cells
     return [bytes(x) for x in maps]
 
 
+def _among(first: np.ndarray, second: np.ndarray, own: np.ndarray, own_2: np.ndarray) -> np.ndarray:
+    """Which windows are among a document's own, by both halves of their hashes."""
+    return np.isin(first, own) & np.isin(second, own_2)
+
+
 def _estimated(maps: list[np.ndarray], key: np.ndarray, bits: int) -> np.ndarray:
     """True where every row of the sketch says two or more."""
     out = np.ones(len(key), bool)
@@ -234,7 +232,13 @@ def _estimated(maps: list[np.ndarray], key: np.ndarray, bits: int) -> np.ndarray
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, sketch_bits: int = 27, carry: tuple[str, ...] = ()) -> DataFrame:
+def sized(rows: DataFrame) -> int:
+    """Bits of a sketch row for the texts' bytes: a key for about 100 of them."""
+    total = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, total * SPARE // 100)))))
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, sketch_bits: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row of docs (doc_id, text), and a struct `row` of the columns in `carry`.
 
     A word goes if a window of `window` words that covers it has a word sequence that also starts in a
@@ -247,7 +251,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, sketch_bit
     if not 0 < gram <= window:
         raise ValueError("gram must be between 1 and window")
     rows = id_text(docs)
-    spark = rows.sparkSession
+    spark, sketch_bits = rows.sparkSession, sketch_bits or sized(rows)
     sketch = spark.sparkContext.broadcast(merged_sketch(rows, window, gram, sketch_bits))
 
     def bitmaps() -> list[np.ndarray]:
@@ -269,12 +273,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, sketch_bit
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (firsts, seconds, ids)], ["k1", "k2", "doc_id"])
 
     found = map_arrow(rows.where("doc_id is not null"), suspects, "k1 long, k2 long, doc_id long")
-    owned = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner")).groupBy("owner").agg(F.collect_list("k1").alias("own"))
+    owned = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner")).groupBy("owner").agg(F.collect_list("k1").alias("own"), F.collect_list("k2").alias("own_2"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, maps = WordHashes(), bitmaps()
         for batch in batches:
-            texts, own = binary_list(batch, "text"), batch.column(batch.schema.get_field_index("own"))
+            texts, own = binary_list(batch, "text"), [batch.column(batch.schema.get_field_index(c)) for c in ("own", "own_2")]
             named = batch.column(0).is_valid().to_pylist()
             kept: list[bytes] = [b" ".join(x.split()) for x in texts]
             words: list[int] = []
@@ -286,8 +290,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, sketch_bit
                     mine = gone[at : at + n]
                     if not named[i] or not mine.any():
                         continue
-                    if own[i].is_valid:
-                        mine = mine & ~np.isin(g.first[at : at + n], own[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    if own[0][i].is_valid:
+                        mine = mine & ~_among(g.first[at : at + n], g.second[at : at + n], *(x[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for x in own))
                     size = n + window - 1
                     edge = np.zeros(size + 1, np.int64)
                     edge[:n] += mine
@@ -300,7 +304,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 20, sketch_bit
 
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("row"))
-    both = whole.join(owned.withColumnRenamed("owner", "doc_id"), "doc_id", "left").select("doc_id", "text", "own", "row")
+    both = whole.join(owned.withColumnRenamed("owner", "doc_id"), "doc_id", "left").select("doc_id", "text", "own", "own_2", "row")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("row", both.schema["row"].dataType)])
     small_batches(spark)
     out = both.mapInArrow(cut, schema)
