@@ -28,6 +28,8 @@ from .common import free_shuffles, map_arrow, new_folder, settle
 READ = 1 << 20
 #: A fixed date: archives of equal input are equal.
 DATE = "2020-01-01T00:00:00Z"
+#: Repeated payloads that are looked up by broadcast: 28 bytes each.
+BROADCAST_ROWS = 1 << 20
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -139,7 +141,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     firsts = settle(first_pages(pages, least_bytes))
     html = F.col("html").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(F.coalesce(html, F.lit("")))).alias("digest"))
-    marked = rows.join(firsts, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None).cast("long")).otherwise(F.col("first")).alias("refers_to"))
+    # payloads that occur once, nearly all, stay where they are read: only those that repeat are looked up, by broadcast while
+    # that is a bounded size, else by a shuffle of the payloads, whose very frequent ones adaptive execution splits
+    few = firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    marked = rows.join(F.broadcast(firsts) if few else firsts, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None).cast("long")).otherwise(F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sink, pack, path = 0, None, zlib.compressobj(6, zlib.DEFLATED, 31), ""
