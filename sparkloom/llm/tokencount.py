@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_list, id_text, map_arrow, new_folder, settle
+from .common import binary_list, id_text, look_up, map_arrow, new_folder, settle
 from .tokenization import default_path, encoder, version_digest
 
 #: Digests a task remembers to send a content once; beyond that it starts anew, which only costs rows.
 SEEN = 500_000
+#: A Spark setting that names the cache's folder, for counts that outlive a call.
+CACHE = "spark.sparkloom.tokenCounts"
 SCHEMA = "content binary, tokenizer string, n_tokens long"
 
 
@@ -47,21 +49,36 @@ def read_cache(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame | N
     return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, cache: str | None = None) -> DataFrame:
+def default_cache(spark: SparkSession) -> str:
+    """The folder in the setting CACHE, which stays between calls, or a new one in the shared folder."""
+    return spark.conf.get(CACHE, None) or new_folder(spark, "token-counts")
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, cache: str | None = None, rounds: int = 2) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row of docs (doc_id, text).
 
-    `cache`: a Parquet folder of (content, tokenizer, n_tokens) that grows; None: a new one in the
-    shared folder. Nulls: a null text counts as the empty text (0 tokens); a null doc_id is kept.
+    `cache`: a Parquet folder of (content, tokenizer, n_tokens) that grows; None: see default_cache. Documents are counted in
+    `rounds`, each of which joins the cache that those before have filled, so a call that fails keeps what is done.
+    Nulls: a null text counts as the empty text (0 tokens); a null doc_id is kept.
     Repeated rows come back repeated; an empty table gives an empty result.
     """
     path = tokenizer_path or default_path()
     spark, tokenizer = docs.sparkSession, version_digest(path)
-    cache = cache or new_folder(spark, "token-counts")
+    cache = cache or default_cache(spark)
     rows = id_text(docs)
     text = F.coalesce("text", F.lit(""))
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
     digests = settle(rows.select("doc_id", F.unhex(F.sha2(text, 256)).alias("content"), F.octet_length(text).cast("long").alias("n_bytes")))
-    known = read_cache(spark, cache, tokenizer)
-    misses = map_arrow(rows.select("text"), _once, "content binary, text binary")
+    for i in range(rounds):
+        encode_misses(rows.where(turn == i).select("text"), read_cache(spark, cache, tokenizer), path).select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    wanted = settle(digests.groupBy("content").agg(F.count(F.lit(1)).alias("n")))
+    counts = settle(wanted.join(read_cache(spark, cache, tokenizer), "content"))
+    return look_up(digests, counts, "content").select("doc_id", "n_bytes", "n_tokens")
+
+
+def encode_misses(texts: DataFrame, known: DataFrame | None, path: str) -> DataFrame:
+    """(content, n_tokens) of the distinct texts whose digest isn't known."""
+    misses = map_arrow(texts, _once, "content binary, text binary")
     if known is not None:
         misses = misses.join(known.select("content"), "content", "left_anti")
 
@@ -76,12 +93,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, cache: str
                     out[1].append(len(ids(zlib.decompress(text).decode())))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64())], ["content", "n_tokens"])
 
-    fresh = misses.repartition("content").mapInArrow(encode, "content binary, n_tokens long")
-    fresh = settle(fresh)
-    fresh.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    if known is None:
-        counts = fresh
-    else:
-        hits = known.join(digests.select("content").distinct(), "content", "left_semi")
-        counts = settle(hits.union(fresh).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
-    return digests.join(counts, "content").select("doc_id", "n_bytes", "n_tokens")
+    return misses.repartition("content").mapInArrow(encode, "content binary, n_tokens long")
