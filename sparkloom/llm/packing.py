@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import id_text, map_arrow, settle, text_list
 from .tokenization import default_path, encoder
 
-BUCKET_ROWS = 8_192
+#: Rows of a bucket, beyond a number of buckets that small tables have too. Totals are one row for each bucket and length.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 17, 64
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, sequence: int, end_id: int) -> DataFrame:
@@ -103,8 +104,9 @@ def pack(docs: DataFrame, sequence: int = 2048, tokenizer_path: str | None = Non
     cut = settle(pieces(docs, tokenizer_path or default_path(), sequence, end_id))
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     keys, sequences, offsets = _slots(plan_packs(histogram, sequence))
-    buckets = max(1, sum(histogram.values()) // BUCKET_ROWS)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    buckets = max(LEAST_BUCKETS, sum(histogram.values()) // BUCKET_ROWS)
+    # by the piece, not the document: a null doc_id, or one very long document, is spread like any other
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     totals = dealt.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
     before = totals.select("bucket", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
