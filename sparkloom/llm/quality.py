@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, text_list
+from .common import first_texts, id_text, map_arrow, settle, text_list
 from .linear import BITS, WordScores
 
 #: Marks at a word's end that plain prose doesn't have there, and ends of sentences.
@@ -247,7 +247,7 @@ def classify(docs: DataFrame, settings: Training = Training(), threshold: float
     fits = rows.where(F.col("doc_id").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) <= settings.characters))
     # only the chosen ids are ordered, not the texts; their number is bounded by settings.documents
     chosen = fits.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.documents)
-    sample = sorted((r["doc_id"], r["text"] or "") for r in rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect())
+    sample = sorted((r["doc_id"], r["text"]) for r in first_texts(fits.join(F.broadcast(settle(chosen)), "doc_id", "left_semi")).collect())
     weights, bias = fit_scorer([t for _, t in sample], [model.posterior(votes(t)) for _, t in sample], settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_text, map_arrow, text_list
+from .common import first_texts, held_out, id_text, map_arrow, settle, text_list
 from .linear import BITS, WordScores, incidence
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -113,14 +113,20 @@ def score_text(text: str, scores: WordScores, bias: float, locate: float) -> tup
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, settings: Training) -> tuple[list[str], list[int]]:
-    """The bounded labelled sample; rows whose crc32(doc_id as text) mod 4 is 2 are held out."""
+    """The bounded labelled sample; rows whose crc32(doc_id as text) mod 4 is 2 are held out.
+
+    Labels that differ for one doc_id count as toxic; of texts that share a doc_id the smallest counts.
+    """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = marked.orderBy(*order).limit(settings.documents)
+    rows = id_text(docs).where(F.col("doc_id").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) <= settings.characters))
+    # only labels of documents that are there count, so the sample is as large as they allow; ids alone are joined and ordered
+    chosen = marked.join(rows.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.documents)
     # the sample is bounded by settings.documents, so broadcasting it is
-    rows = id_text(docs).where(F.length(F.coalesce("text", F.lit(""))) <= settings.characters).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    sample = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.collect()), key=lambda r: r[0])
+    chosen = F.broadcast(settle(chosen))
+    texts = first_texts(rows.join(chosen, "doc_id", "left_semi"))
+    rows = texts.join(chosen, "doc_id")
+    sample = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect()), key=lambda r: r[0])
     return [r[1] for r in sample], [r[2] for r in sample]
 
 

@@ -61,6 +61,49 @@ def test_toxicity_never_trains_on_held_out_rows(spark):
     assert len(toxicity.training_sample(docs, labels, toxicity.Training(documents=50))[0]) == 50
 
 
+def test_toxicity_sample_takes_labels_of_documents_that_are_there(spark):
+    docs = spark.range(0, 20_000, 200).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    docs = docs.union(spark.createDataFrame([(200, "a"), (200, "z" * 30_000), (None, "n")], "doc_id long, text string"))
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 400 == 0).cast("int").alias("toxic"))
+    texts, found = toxicity.training_sample(docs, labels, toxicity.Training(documents=60))
+    assert len(texts) == len(found) == 60
+    texts, _ = toxicity.training_sample(docs, labels, toxicity.Training())
+    expected = {"a" if i == 200 else f"t{i}" for i in range(0, 20_000, 200) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(texts) == expected and len(texts) == len(expected)
+
+
+def test_scores_against_plain_formulas():
+    r = np.random.default_rng(5)
+    weights = r.normal(0, 2, 1 << 18).astype(np.float32)
+    scores = WordScores(weights)
+    from sparkloom.llm.linear import word_features
+
+    for _ in range(50):
+        text = sentences(r, int(r.integers(1, 6)))
+        clean = 1.0
+        for s in text.split("."):
+            if words := {w.strip("0123456789") for w in s.split()}:
+                z = -8.5 + sum(float(weights[word_features(w)].sum()) for w in words)
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(toxicity.score_text(text, scores, -8.5, 0.3)[0] - (1 - clean)) < 1e-6
+
+
+def test_quality_scorer_against_plain_formulas():
+    r = np.random.default_rng(6)
+    weights = r.normal(0, 1, 1 << 18).astype(np.float32)
+    for _ in range(30):
+        text = sentences(r, 6) + " " + sentences(r, 1).upper() * 2
+        words = text.split()
+        again = seen = 0
+        parts = [x.strip() for x in text.replace("!", ".").replace("?", ".").replace("\n", ".").split(".") if x.strip()]
+        for i, p in enumerate(parts):
+            again += len(p.split(" ")) * (p in parts[:i])
+        same = sum(a == b for a, b in zip(words, words[1:]))
+        total = sum(float(weights[quality.token_features(w)].sum()) for w in words)
+        total += same * float(weights[quality.token_features(quality.SAME)].sum()) + again * float(weights[quality.token_features(quality.AGAIN)].sum())
+        assert seen == 0 and abs(quality.mean_score(text, WordScores(weights, quality.token_features)) - total / len(words)) < 1e-4
+
+
 def test_scores_on_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a. b"), (1, None), (3, "a " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("offending", F.lit(1))

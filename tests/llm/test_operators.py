@@ -222,7 +222,7 @@ def slow_removal(docs, window):
     return out
 
 
-@pytest.mark.parametrize("window, gram, bits", [(50, 20, 27), (50, 20, 8), (5, 3, 20), (3, 3, 22), (1, 1, 20)])
+@pytest.mark.parametrize("window, gram, bits", [(50, 20, None), (50, 20, 8), (5, 3, 20), (3, 3, 22), (1, 1, 20)])
 def test_substring_against_brute_force(odd, window, gram, bits):
     docs = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     found = substring.remove_repeats(odd, window, gram, bits).collect()
@@ -235,6 +235,26 @@ def test_substring_carries_columns(odd):
     assert found.select("row.`_1 odd.name`", "row.row").distinct().collect() == [("z", "x")] and found.count() == odd.count()
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[x.bit_count() & 1] for x in range(n))
+
+
+def test_different_windows_are_never_equal(spark):
+    """Words and windows that polynomials modulo 2^64 can't tell apart, whatever the base."""
+    r = random.Random(3)
+    other = [f"p{r.randrange(999)}" for _ in range(40)]
+    rows = [(i, " ".join([*other[:20], thue_morse(1024, *ab), *other[20:], "end", *other[:10]])) for i, ab in enumerate(("ab", "ba"))]
+    rows += [(i + 2, thue_morse(2048, *ab)) for i, ab in enumerate((("x ", "y "), ("y ", "x ")))]
+    found = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(slow_removal(rows, 50))
+
+
+def test_sketch_follows_the_input(spark, odd, empty):
+    assert substring.sized(empty) == substring.sized(spark.createDataFrame([(1, None)], "doc_id long, text string")) == substring.LEAST_BITS
+    some, more = (substring.sized(odd.select(F.repeat("text", n).alias("text"))) for n in (1000, 4000))
+    assert substring.LEAST_BITS < some == more - 2
+
+
 # Nearest neighbours
 
 
@@ -339,6 +359,13 @@ def test_warc_round_trip(pages):
     assert sorted(found, key=str) == sorted(expected, key=str)
 
 
+def test_warc_with_more_repeated_payloads_than_are_broadcast(pages, monkeypatch):
+    order = lambda rows: sorted(map(str, rows))
+    whole = order(warc.archive_round_trip(pages).collect())
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert order(warc.archive_round_trip(pages).collect()) == whole
+
+
 def test_warc_least_bytes_and_empty(spark, pages):
     found = warc.archive_round_trip(pages, least_bytes=10**6).collect()
     assert {r.record_type for r in found} == {"response"}
@@ -395,6 +422,34 @@ def test_token_counts_and_cache(spark, odd, tmp_path):
     assert {r.tokenizer for r in spark.read.parquet(cache).collect()} == {version_digest(default_path()), version_digest(other)}
 
 
+def test_a_second_call_encodes_nothing(spark, odd, tmp_path):
+    cache = str(tmp_path / "kept")
+    spark.conf.set(tokencount.CACHE, cache)
+    try:
+        first = sorted(map(tuple, tokencount.count_tokens(odd).collect()), key=str)
+        known = tokencount.read_cache(spark, cache, version_digest(default_path()))
+        assert tokencount.encode_misses(odd.select("text"), known, default_path()).count() == 0
+        stored = spark.read.parquet(cache).count()
+        assert sorted(map(tuple, tokencount.count_tokens(odd, rounds=3).collect()), key=str) == first
+        assert spark.read.parquet(cache).count() == stored
+    finally:
+        spark.conf.unset(tokencount.CACHE)
+
+
+def test_the_faster_library_needs_the_same_merges_and_pattern(tmp_path):
+    import json
+    import shutil
+
+    from sparkloom.llm import tokenization
+
+    assert tokenization._same_ranks(default_path()) is not None
+    shutil.copy(default_path("byte_bpe_50k.tiktoken"), tmp_path / "a.tiktoken")
+    whole = json.loads(open(default_path()).read())
+    whole["model"]["merges"][100:102] = reversed(whole["model"]["merges"][100:102])
+    (tmp_path / "a.json").write_text(json.dumps(whole))
+    assert tokenization._same_ranks(str(tmp_path / "a.json")) is None
+
+
 # Packing
 
 
