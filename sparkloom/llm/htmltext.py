@@ -2,18 +2,20 @@
 
 A page becomes a sequence of leaf blocks. Each has a tag-path vector (hashed names, classes, ids and
 roles of its ancestors), a hashed-word vector and a few counts; a bidirectional LSTM in numpy reads
-the sequence and labels every block in the context of the whole page. It is trained here, on pages that
-`training_page` composes from common layouts, with a fixed seed.
+the sequence and labels every block in the context of the whole page. It is trained here (`train`), on pages that
+`training_page` composes from common layouts, with a fixed seed; the weights are stored beside this module.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,20 @@ from .common import map_arrow, text_list
 #: Elements that start and end blocks, and those whose content is never text of the page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset(["hr"])
-SILENT = "script|style|noscript|template|title|textarea|iframe|svg|select|button|canvas|object"
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^<>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*(?:>|(?=<))|<[!?][^<>]*(?:>|(?=<))", re.S | re.I)
+#: Elements whose content is text of their own up to their end tag, or to the page's end, whatever stands in it; and other silent ones.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+SILENT = frozenset("noscript template svg math select button canvas object datalist".split())
+#: A comment; or a tag, whose quoted attributes may hold anything; or a tag or declaration that is never closed, up to the next one.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*(?:>|(?=<)|\Z)|<[!?][^<>]*(?:>|(?=<)|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+|[0-9]+")
 #: A new element of the first kind ends an open one of the second kind that nothing of the third kind encloses.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 PATHS, WORDS, COUNTS = 2048, 512, 6
+#: Innermost elements in a block's tag path.
+DEPTH = 32
+#: Open elements that are looked through for one that a new one ends.
+NEAR = 256
 
 
 @dataclass
@@ -53,57 +62,144 @@ def _names(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(_bucket(x, PATHS) for x in found)
 
 
+@dataclass
+class Tag:
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: str
+
+
+def _raw_end(page: str, name: str, at: int) -> re.Match | None:
+    return re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """Markup in order; a raw-text element is one piece of markup, to its end tag or the page's end. Comments have no name."""
+    at, ends = 0, {}
+    while m := MARKUP.search(page, at):
+        closing, name, attributes = bool(m.group(1)), (m.group(2) or "").lower(), m.group(3) or ""
+        start, at = m.start(), m.end()
+        if not name and (broken := BROKEN.match(page, start)):  # a tag with a stray quote or a stray < is a tag none the less
+            closing, name = bool(broken.group(1)), broken.group(2).lower()
+        if name in RAW and not closing and not attributes.endswith("/"):
+            # an element without an end tag is looked for once
+            found = None if ends.get(name) is False else _raw_end(page, name, at)
+            ends[name] = found is not None
+            at = found.end() if found else len(page)
+            name = ""
+        yield Tag(start, at, closing, name, attributes)
+
+
+BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+
+
+class Open:
+    """Open elements, innermost last. Finding out whether one of a name is open takes no search."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, object]] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, name: str, what: object) -> None:
+        self.stack.append((name, what))
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def pop(self) -> tuple[str, object]:
+        name, what = self.stack.pop()
+        self.count[name] -= 1
+        return name, what
+
+    def close(self, name: str) -> object | None:
+        """Closes the innermost of a name and all in it; what was pushed with it, None if none is open."""
+        if not self.count.get(name):
+            return None
+        while (found := self.pop())[0] != name:
+            pass
+        return found[1]
+
+
+def _silent(listed: list[Tag]) -> set[int]:
+    """Places of the tags that start silent elements which also end, within the block they start in."""
+    open_, found = Open(), set()
+    for i, t in enumerate(listed):
+        if t.name not in SILENT and t.name not in BLOCKS or t.name in VOID or t.attributes.endswith("/") and not t.closing:
+            continue
+        if not t.closing:
+            open_.push(t.name, i)
+        elif (start := open_.close(t.name)) is not None and t.name in SILENT:
+            found.add(start)
+    return found
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's non-empty leaf blocks in order, with character references decoded and white space collapsed."""
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    """The page's non-empty leaf blocks in order, with character references decoded and white space collapsed.
+
+    Silent elements (buttons, drawings and so on) end with their end tag; an element of that kind without one is
+    taken to have no content, so it hides nothing. Time is linear in the page's length.
+    """
+    listed = list(tags(page))
+    silent = _silent(listed)
+    open_ = Open()
     found: list[Block] = []
     parts: list[str] = []
-    linked = at = links = 0
+    linked = at = links = depth = 0
+    hushed = ""
 
     def close() -> None:
         nonlocal linked
         if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-            found.append(Block(text, tuple(b for _, names in stack for b in names), min(linked, len(text))))
+            found.append(Block(text, tuple(b for _, names in open_.stack[-DEPTH:] for b in names), min(linked, len(text))))  # type: ignore[union-attr]
         parts.clear()
         linked = 0
 
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for i, t in enumerate(listed):
+        if t.start > at and not depth:
+            parts.append(page[at : t.start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        if not m.group(3):
+                linked += t.start - at
+        at = t.end
+        if depth:  # only the silent element's own name counts in it
+            if t.name == hushed and (t.closing or i in silent):
+                depth += -1 if t.closing else 1
             continue
-        ending, tag = bool(m.group(2)), m.group(3).lower()
-        if tag == "a":
-            links = 0 if ending else 1
-        elif tag == "br":
+        if i in silent:
+            depth, hushed = 1, t.name
+        elif t.name == "a":
+            links = 0 if t.closing else 1
+        elif t.name == "br":
             parts.append("\n")
-        elif tag in BLOCKS:
+        elif t.name in BLOCKS:
             close()
-            if ending:
-                if any(tag == x for x, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+            if t.closing:
+                open_.close(t.name)
                 continue
-            if stack and stack[-1][0] == "p":
-                stack.pop()
-            if tag in ENDS:
-                same, outer = ENDS[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in outer:
-                        break
-                    if stack[i][0] in same:
-                        del stack[i:]
-                        break
-            if tag not in VOID and not m.group(4).endswith("/"):
-                stack.append((tag, _names(tag, m.group(4))))
-    parts.append(page[at:])
+            if open_.stack and open_.stack[-1][0] == "p":
+                open_.pop()
+            if t.name in ENDS:
+                _end_same(open_, *ENDS[t.name])
+            if t.name not in VOID and not t.attributes.endswith("/"):
+                open_.push(t.name, _names(t.name, t.attributes))
+    if not depth:
+        parts.append(page[at:])
     close()
     return found
 
 
+def _end_same(open_: Open, same: set[str], outer: set[str]) -> None:
+    """Closes an open element that a new one of its kind ends, if nothing encloses the new one."""
+    if not any(open_.count.get(x) for x in same):
+        return
+    for i in range(len(open_.stack) - 1, max(-1, len(open_.stack) - 1 - NEAR), -1):
+        if open_.stack[i][0] in outer:
+            return
+        if open_.stack[i][0] in same:
+            while len(open_.stack) > i:
+                open_.pop()
+            return
+
+
 class Words(dict):
     """Buckets of words, kept by word."""
 
@@ -247,7 +343,7 @@ def predict(p: dict[str, np.ndarray], pages: list[list[Block]], words: Words) ->
     return out
 
 
-def train(pages: int = 900, rounds: int = 6, seed: int = 7, rate: float = 0.01) -> dict[str, np.ndarray]:
+def train(pages: int = 2000, rounds: int = 6, seed: int = 7, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Adam on composed pages."""
     p, words = initial(seed), Words()
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -358,7 +454,7 @@ def training_page(r: np.random.Generator) -> tuple[list[Block], list[bool]]:
         return pick(f"<footer>{no}{text}</footer>", f"<footer>{no}{text}</footer>", f"<footer><p>{no}{text}</p></footer>", f"<div{named('footer', 'copyright', 'bottom', 'colophon')}><p>{no}{text}</p></div>")
 
     def article() -> str:
-        parts = [f"<{(t := pick('h1', 'h1', 'h2'))}>{yes}{_prose(r, 2, 14)}</{t}>"] if r.random() < 0.85 else []
+        parts = [f"<{(t := pick('h1', 'h1', 'h2'))}>{yes}{_prose(r, 2, 24)}</{t}>"] if r.random() < 0.85 else []
         for i in range(int(r.integers(1, 14)) if r.random() < 0.8 else int(r.integers(14, 60))):
             kind = r.random()
             if kind < 0.72:
@@ -370,13 +466,17 @@ def training_page(r: np.random.Generator) -> tuple[list[Block], list[bool]]:
             elif kind < 0.9:
                 parts.append(f"<blockquote>{yes}{_prose(r, 5, 60)}</blockquote>")
             elif kind < 0.93:
-                parts.append(f"<table><tr><td>{yes}{_prose(r, 1, 6)}</td><td>{yes}{_prose(r, 1, 6)}</td></tr></table>")
+                head = f"<tr><th>{yes}{_prose(r, 1, 3)}</th><th>{yes}{_prose(r, 1, 3)}</th></tr>" if r.random() < 0.5 else ""
+                parts.append(f"<table>{head}" + "".join(f"<tr><td>{yes}{_prose(r, 1, 6)}</td><td>{yes}{_prose(r, 1, 9)}</td></tr>" for _ in range(r.integers(1, 4))) + "</table>")
             elif kind < 0.95:
-                parts.append(f"<pre>{yes}{_prose(r, 3, 30)}</pre>")
+                parts.append(pick(f"<pre>{yes}{_prose(r, 3, 30)}</pre>", f"<figure><img><figcaption>{yes}{_prose(r, 2, 20)}</figcaption></figure>", f"<section>{yes}{_prose(r, 5, 60)}</section>"))
             elif i:
                 parts.append([advert, side, notice, form][int(r.integers(4))]())
         inner = "".join(parts)
-        return pick(f"<article>{inner}</article>", f"<article{named('post', 'entry', 'story')}>{inner}</article>", f"<main><div{named('content', 'text')}>{inner}</div></main>", f"<div{named('content', 'article', 'post', 'entry-content', 'story-body', 'main')}>{inner}</div>", f"<div>{inner}</div>", inner, f"<article>{inner}</article>")
+        section = pick(f"<main><section{named('content', 'story', 'article', 'text')}>{inner}</section></main>", f"<section{named('content', 'story', 'post', 'body')}>{inner}</section>", f"<main>{inner}</main>", f"<section>{inner}</section>")
+        left = f"<td>{link(no + _furniture(r, MENU, 1, 3))}<br>{link(_furniture(r, MENU, 1, 3))}</td>" if r.random() < 0.6 else ""
+        cell = f"<table><tr><td>{no}{link(_furniture(r, MENU, 1, 4))}</td></tr><tr>{left}<td>{inner}</td></tr><tr><td>{no}{_furniture(r, FOOTER, 3, 10)}</td></tr></table>"
+        return pick(f"<article>{inner}</article>", f"<article{named('post', 'entry', 'story')}>{inner}</article>", f"<main><div{named('content', 'text')}>{inner}</div></main>", f"<div{named('content', 'article', 'post', 'entry-content', 'story-body', 'main')}>{inner}</div>", f"<div>{inner}</div>", inner, f"<article>{inner}</article>", f"<article>{inner}</article>", section, section, cell)
 
     before = [f() for f in (head, menu, notice, advert, form) if r.random() < 0.5]
     often = r.choice([0.2, 0.6])  # some pages have little after the article
@@ -393,9 +493,25 @@ def training_page(r: np.random.Generator) -> tuple[list[Block], list[bool]]:
     return found, labels
 
 
-@functools.lru_cache(maxsize=2)
-def model(seed: int = 7) -> dict[str, np.ndarray]:
-    return train(seed=seed)
+#: The trained weights, and the SHA-256 of their bytes. `python -m sparkloom.llm.htmltext` trains them anew and prints it.
+STORED, DIGEST = Path(__file__).with_name("html_model.npz"), "f7afaa3e230b8e97e99a9f944f5d358bbb53a0ff2c73fa845ce0e72506b9135c"
+
+
+def digest(p: dict[str, np.ndarray]) -> str:
+    found = hashlib.sha256()
+    for name in sorted(p):
+        found.update(f"{name} {p[name].shape} ".encode() + p[name].astype("<f4").tobytes())
+    return found.hexdigest()
+
+
+@functools.lru_cache(maxsize=1)
+def model() -> dict[str, np.ndarray]:
+    """The stored weights: the same on every machine, and no training in a query."""
+    with np.load(STORED) as stored:
+        p = {name: stored[name] for name in stored.files}
+    if digest(p) != DIGEST:
+        raise ValueError(f"{STORED.name} isn't the model this code was tested with")
+    return {name: x.astype(np.float64) for name, x in p.items()}
 
 
 def main_text(pages_: DataFrame, parameters: dict[str, np.ndarray] | None = None) -> DataFrame:
@@ -416,3 +532,9 @@ def main_text(pages_: DataFrame, parameters: dict[str, np.ndarray] | None = None
 
     rows = pages_.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return map_arrow(rows, run, "page_id long, url string, text string")
+
+
+if __name__ == "__main__":
+    trained = {name: x.astype(np.float32) for name, x in train().items()}
+    np.savez_compressed(STORED, **trained)
+    print(digest(trained))

@@ -175,6 +175,79 @@ def test_blocks_follow_the_page():
     assert [b.text for b in htmltext.blocks("a<br>b<p>c<table><tr><td>d<td>e</table>f")] == ["a b", "c", "d", "e", "f"]
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<article><p>One.</p><button>x<p>Two.</p></article><p>Three", ["One.", "x", "Two.", "Three"]),
+        ("<p>One.</p><button>x</button><p>Two.</p><button>y<p>Three</p>", ["One.", "Two.", "y", "Three"]),
+        ("<p>a<svg><svg>in</svg>label</svg>b</p>", ["ab"]),
+        ("<p>a</p><script data-x='<'>var x=1;</script><p>b", ["a", "b"]),
+        ("<p>a</p><script data-x=a<b>var x=1;</script><p>b", ["a", "b"]),
+        ("<p>a</p><noscript>js</noscript><select><option>1<option>2</select>c<style>p{}</style><p>d<script>no <p>end", ["a", "c", "d"]),
+        ("<div><button>x</div><p>text</p><div>y</button></div>z", ["x", "text", "y", "z"]),
+        ("<title>t</title><object>o<p>yes</p><canvas><p>too", ["o", "yes", "too"]),
+        ("<p>a < b and 5 <6 x</p><p>it's \" fine</p><a href=x'y>l</a>", ["a < b and 5 <6 x", "it's \" fine", "l"]),
+        ("<TEXTAREA><p>no</p></textarea\n><!-- <p>no</p> --><P>yes<!-- open", ["yes"]),
+    ],
+)
+def test_broken_markup(page, texts):
+    assert [b.text for b in htmltext.blocks(page)] == texts
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div>x", "<button>", "<svg>", "<script>", "<", "<a '", "<li>", "<div><li>a", "<!--", '<p x="'])
+def test_blocks_take_linear_time(part):
+    import time
+
+    n, took = 100_000, []
+    for k in (n // 4, n):
+        began = time.perf_counter()
+        htmltext.blocks(part * k + "x")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1  # 4 if linear, 16 if quadratic
+
+
+ARTICLE = ["Bridge vote delayed", "The town council met on Tuesday evening to discuss the new bridge.", "Several residents spoke against the plan, citing noise and cost.", "A second vote is expected before the end of the month."]
+LAYOUTS = {
+    "weblog": """<html><body class="single post"><div id="page"><div id="masthead" class="site-header"><a href="/">River Times</a><div class="main-navigation"><a href="/a">Home</a> | <a href="/b">About</a></div></div><div id="primary"><div class="hentry"><h1 class="entry-title">{}</h1><div class="entry-content"><p>{}</p><p>{}</p><blockquote><p>{}</p></blockquote></div></div><div id="comments"><ol class="comment-list"><li class="comment"><p>I walk there every day.</p></li></ol></div></div><div id="secondary" class="widget-area"><div class="widget"><h3>Recent posts</h3><ul><li><a href="/x">Market day returns</a></li></ul></div></div><div id="colophon">Proudly powered by presses</div></div></body></html>""",
+    "tables": """<table width=100%><tr><td colspan=2><b><a href="/">Old Site</a></b></td></tr><tr><td width=150><a href="1">News</a><br><a href="2">Sport</a></td><td><h2>{}</h2><p>{}<p>{}<p>{}</td></tr><tr><td colspan=2><small>Copyright 2003 Old Site</small></td></tr></table>""",
+    "sections": """<body><header class="top"><nav><a href="/">Home</a><a href="/w">World</a></nav></header><main><section class="story"><h1>{}</h1><p>{}</p><p>{}</p><aside class="promo"><p>Sign up for our newsletter</p></aside><p>{}</p></section></main><footer><ul><li><a>Privacy</a></li><li><a>Terms</a></li></ul></footer></body>""",
+    "manual": """<div class="layout"><div class="toc"><ul><li><a href="#1">Install</a></li><li><a href="#2">Usage</a></li></ul></div><div class="doc-body"><h1>{}</h1><p>{}</p><p>{}</p><p>{}</p></div></div>""",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_main_text_of_layouts_it_wasnt_trained_on(labeller, layout):
+    page = htmltext.blocks(LAYOUTS[layout].format(*ARTICLE))
+    keep = htmltext.predict(labeller, [page], htmltext.Words())[0]
+    assert [b.text for b, k in zip(page, keep, strict=True) if k] == ARTICLE
+
+
+def test_labeller_against_plain_loops(labeller):
+    p, words, sigmoid = labeller, htmltext.Words(), lambda x: 1 / (1 + np.exp(-x))
+    pages = [htmltext.training_page(np.random.default_rng([77, i]))[0] for i in range(6)]
+    for page, found in zip(pages, htmltext.predict(p, pages, words), strict=True):
+        x = []
+        for i, b in enumerate(page):
+            tokens = b.text.split(" ")
+            stops = sum(b.text.count(e) for e in (". ", "! ", "? ")) + (b.text[-1] in ".!?")
+            counts = [np.log1p(len(b.text)) / 6, b.linked / len(b.text), min(1, 5 * stops / len(tokens)), i / len(page), min(1, len(tokens) / 20), 1]
+            x.append(np.tanh(sum(p["e"][k] for k in b.path) + sum(p["e"][words[t]] for t in tokens) / len(tokens) + np.array(counts) @ p["c"]))
+        sides = []
+        for way, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, c, out = np.zeros(htmltext.HIDDEN), np.zeros(htmltext.HIDDEN), {}
+            for t in order:
+                i, f, o, g = np.split(x[t] @ p[f"w{way}"] + h @ p[f"u{way}"] + p[f"b{way}"], 4)
+                c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+                h = out[t] = sigmoid(o) * np.tanh(c)
+            sides.append(out)
+        z = [float((np.concatenate([sides[0][t], sides[1][t], x[t]]) @ p["o"])[0] + p["ob"][0]) for t in range(len(x))]
+        assert [v > 0 for v in z] == found
+
+
+def test_stored_weights_are_those_of_the_code():
+    assert htmltext.digest(htmltext.model()) == htmltext.DIGEST
+
+
 def test_pipeline_stages_take_effect(spark, data):
     import corpus_pipeline
 
