@@ -3,8 +3,9 @@
 1. Document frequencies of the benchmark's words over the whole corpus give IDF weights. A word weighs
    sqrt(tf) idf^2 on either side, so that rare words decide.
 2. Benchmark items are cut into passages of 32 words, every 16. A distributed randomised SVD of their
-   TF-IDF rows gives a latent space of as many dimensions as the items need: it spans what is searched for,
-   so its size follows the benchmark, which is processed in groups of bounded size, and not the corpus.
+   TF-IDF rows gives a latent space of half as many dimensions as passages, 256 at most: it spans what is searched for,
+   so its size follows the benchmark and not the corpus. A large benchmark is dealt into groups, each with a space
+   of its own; a pass over the corpus searches all of them, so there are two passes however many items there are.
 3. Every passage of every document is folded into that space and compared by cosine. Its norm counts
    words the benchmark doesn't have at the mean weight of those it has. A passage whose benchmark words
    can't reach the threshold (their norm bounds its projection's) needs no product.
@@ -26,27 +27,35 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, is_empty, map_arrow, settle, text_list
+from .common import id_text, map_arrow, settle, text_list
 
 WORD = re.compile(r"[^\W_]+")
 HALF = 16
 #: Places of words that the benchmark doesn't have, and of its stop words.
 UNKNOWN, STOP = -1, -2
-#: Characters of texts that are searched together, and passages in a product.
-CHARACTERS, PRODUCT = 1 << 18, 1 << 12
-#: Items in a group: bounds the latent space and what is broadcast.
-GROUP = 200
+#: Words of texts that are searched together, and passages in a product.
+WORDS, PRODUCT = 1 << 15, 1 << 12
+#: Characters of a group's items: bounds its latent space, about 25 MB, and what a task holds of a group.
+GROUP = 1 << 20
+#: Characters of a benchmark. What is broadcast is about 25 times this; a larger one is an error: search for its parts.
+MOST = 16 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    cosine: float = 0.3
+    cosine: float = 0.25
     lcs: float = 0.5
-    answer: float = 0.4
+    answer: float = 0.3
     answer_words: int = 8
+    #: Dimensions of the latent space at most, and part of the number of passages.
+    rank: int = 256
+    part: float = 0.5
+    #: Part of an item passage's rarest words that makes a passage a candidate.
+    keys: float = 0.375
     #: Words in more than this share of documents are stop words.
     common: float = 0.3
     energy: float = 0.99
@@ -58,11 +67,12 @@ def words_of(text: str) -> list[str]:
 
 
 def document_frequencies(docs: DataFrame, vocabulary: frozenset[str]) -> tuple[dict[str, int], int]:
-    """In how many documents each word of the vocabulary occurs, and the number of documents."""
+    """In how many documents each word of the vocabulary (of a bounded benchmark) occurs, and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        n = 0
+        n, vocabulary = 0, shared.value
         for batch in batches:
             for text in text_list(batch, "text"):
                 n += 1
@@ -111,14 +121,14 @@ def _rows(words: list[str], place: dict[str, int], weight: np.ndarray) -> list[t
     return out
 
 
-def randomised_svd(items: DataFrame, place: dict[str, int], weight: np.ndarray, rank: int, energy: float, seed: int = 11) -> np.ndarray:
-    """Word vectors (places x rank): right singular vectors of the items' TF-IDF passages.
+def randomised_svd(items: DataFrame, place: dict[str, int], weight: np.ndarray, rank: int, extra: int, energy: float, seed: int = 11) -> np.ndarray:
+    """Word vectors (places x rank at most): right singular vectors of the items' TF-IDF passages.
 
     Two distributed passes. The first sends each task's part of (A W)'(A W) for a random W, whose Cholesky
     factor orthonormalises A W; the second sends each task's part of Q'A. Both sums have a size that the
     group bounds. items: (item_id, text).
     """
-    n, width = len(weight), rank
+    n, width = len(weight), min(len(weight), rank + extra)
     test = np.random.default_rng(seed).normal(0, 1, (n, width))
 
     def parts(batches: Iterator[pa.RecordBatch], solve: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -143,7 +153,7 @@ def randomised_svd(items: DataFrame, place: dict[str, int], weight: np.ndarray,
     solve[:, : good.sum()] = basis[:, good] / np.sqrt(value[good])
     _, s, vt = np.linalg.svd(summed(solve), full_matrices=False)
     share = np.cumsum(s**2) / max(1e-300, float((s**2).sum()))
-    return vt[: int(np.searchsorted(share, energy)) + 1].T.astype(np.float32)
+    return vt[: min(rank, int(np.searchsorted(share, energy)) + 1)].T.astype(np.float32)
 
 
 def build_index(items: DataFrame, frequencies: dict[str, int], n_docs: int, settings: Settings) -> Index | None:
@@ -159,7 +169,7 @@ def build_index(items: DataFrame, frequencies: dict[str, int], n_docs: int, sett
     place = {w: i for i, w in enumerate(useful + [w for w in vocabulary if w not in kept])}
     weight = np.array([max(idf(w), 1e-3) ** 2 for w in useful])
     n_passages = sum(len(passages(len(words))) for _, words in listed)
-    vectors = randomised_svd(items, place, weight, min(len(useful), n_passages + settings.extra), settings.energy)
+    vectors = randomised_svd(items, place, weight, max(1, min(settings.rank, int(n_passages * settings.part))), settings.extra, settings.energy)
     folded, owner = [], []
     for i, (_, words) in enumerate(listed):
         for at, value in _rows(words, place, weight):
@@ -170,7 +180,7 @@ def build_index(items: DataFrame, frequencies: dict[str, int], n_docs: int, sett
     answers = [frozenset(rarest([w for w in words if w in kept] or words)) for _, words in listed]
     keys = [[place[w] for w in rarest(words[s:e])] for _, words in listed for s, e in passages(len(words))]
     keyed = np.array(sorted((x, i) for i, k in enumerate(keys) for x in k), np.int64)
-    need = np.array([(len(k) + 1) // 2 for k in keys])
+    need = np.array([max(1, math.ceil(len(k) * settings.keys)) for k in keys])
     return Index(place, weight, float((weight**2).mean()), vectors, np.array(folded, np.float32), np.array(owner), listed, answers, keyed[:, 0], keyed[:, 1], need)
 
 
@@ -217,12 +227,11 @@ def by_keys(full: np.ndarray, half: np.ndarray, starts: np.ndarray, index: Index
         yield from zip(p[good].tolist(), index.owner[o[good]].tolist(), strict=True)
 
 
-def matches(texts: list[str], index: Index, settings: Settings) -> Iterator[tuple[int, int, float, float]]:
-    """(place of the text, item_id, common subsequence share, cosine) of each item found in each text, with its best figures.
+def matches(listed: list[list[str]], index: Index, settings: Settings) -> Iterator[tuple[int, int, float, float]]:
+    """(place of the text, item_id, common subsequence share, cosine) of each item found in each text's words, with its best figures.
 
     Halves of all texts are numbered through, with an empty half after each text, so that arrays cover many texts.
     """
-    listed = [words_of(x) for x in texts]
     sizes = np.array([len(w) for w in listed])
     halves = -(-sizes // HALF)
     base = np.cumsum(halves + 1) - (halves + 1)
@@ -295,40 +304,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     """
     spark, schema = docs.sparkSession, "doc_id long, item_id long, lcs double, cosine double"
     rows = id_text(docs)
-    items = id_text(benchmark, "item_id").where("item_id is not null and text is not null").distinct()
-    if is_empty(items):
+    items = settle(id_text(benchmark, "item_id").where("item_id is not null and text is not null").distinct())
+    size = items.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    if not size:
         return spark.createDataFrame([], schema)
-    groups = math.ceil(items.count() / GROUP)
+    if size > MOST:
+        raise ValueError(f"a benchmark has at most {MOST} characters: search for its parts one after another")
+    groups = math.ceil(size / GROUP)
     dealt = settle(items.withColumn("g", F.pmod(F.xxhash64("item_id"), F.lit(groups))))
-    found: DataFrame | None = None
-    for g in range(groups):
-        group = dealt.where(F.col("g") == g).select("item_id", "text").coalesce(4)
-        vocabulary = frozenset(w for r in group.collect() for w in words_of(r["text"]))
-        frequencies, n_docs = document_frequencies(rows, vocabulary)
-        index = build_index(group, frequencies, n_docs, settings)
-        if index is None:
-            continue
-        part = _search(rows, index, settings, schema)
-        found = part if found is None else found.union(part)
-    return found if found is not None else spark.createDataFrame([], schema)
-
+    vocabulary = frozenset(w for r in dealt.select("text").toLocalIterator() for w in words_of(r["text"]))
+    frequencies, n_docs = document_frequencies(rows, vocabulary)
+    made = (build_index(dealt.where(F.col("g") == g).select("item_id", "text").coalesce(4), frequencies, n_docs, settings) for g in range(groups))
+    return _search(rows, [spark.sparkContext.broadcast(x) for x in made if x], settings, schema)
 
-def _search(rows: DataFrame, index: Index, settings: Settings, schema: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(index)
 
+def _search(rows: DataFrame, indexes: list[Broadcast[Index]], settings: Settings, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            ids, texts = batch.column(0).to_pylist(), text_list(batch, "text")
-            start = size = 0
-            for end, text in enumerate(texts, 1):
-                size += len(text)
-                if size < CHARACTERS and end < len(texts):
-                    continue
-                for d, *found in matches(texts[start:end], shared.value, settings):
-                    for column, value in zip(out, (ids[start + d], *found), strict=True):
-                        column.append(value)
-                start, size = end, 0
+            ids, listed = batch.column(0).to_pylist(), [words_of(x) for x in text_list(batch, "text")]
+            for shared in indexes:
+                index, start, size = shared.value, 0, 0
+                for end, words in enumerate(listed, 1):
+                    size += len(words)
+                    if size < WORDS and end < len(listed):
+                        continue
+                    for d, *found in matches(listed[start:end], index, settings):
+                        for column, value in zip(out, (ids[start + d], *found), strict=True):
+                            column.append(value)
+                    start, size = end, 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "lcs", "cosine"])
 
     return map_arrow(rows, run, schema)

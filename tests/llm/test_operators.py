@@ -538,6 +538,44 @@ def test_decontamination_finds_a_hot_item_and_every_text_of_an_item(spark):
     assert {(x.doc_id, x.item_id) for x in found} == expected and len(found) == len(expected)
 
 
+def test_decontamination_against_every_place_and_in_groups(spark, data, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    frequency, texts, settings = defaultdict(int), {r.doc_id: decontam.words_of(r.text) for r in docs.collect()}, decontam.Settings()
+    for words in texts.values():
+        for w in set(words):
+            frequency[w] += 1
+    items = {r.item_id: decontam.words_of(r.text) for r in benchmark.collect()}
+    stop, most = settings.common * len(texts), max(map(len, items.values()))
+    answers = {i: frozenset(sorted({w for w in words if frequency[w] <= stop}, key=lambda w: (frequency[w], w))[: settings.answer_words]) for i, words in items.items()}
+    expected = set()
+    for d, words in texts.items():
+        for start, _ in decontam.passages(len(words)):
+            have = set(words[max(0, start - most) : start + 32 + most])
+            for i, item in items.items():
+                if (d, i) not in expected and len(answers[i] & have) >= settings.answer * len(answers[i]) and decontam.confirm(words, start, item, answers[i], settings)[0] >= settings.lcs:
+                    expected.add((d, i))
+    found = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect())
+    assert len(expected) >= 3 and set(found) == expected and len(found) == len(expected)
+    monkeypatch.setattr(decontam, "GROUP", 10_000)
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()) == found
+    monkeypatch.setattr(decontam, "MOST", 10_000)
+    with pytest.raises(ValueError):
+        decontam.contaminated(docs, benchmark)
+
+
+def test_paraphrases_are_found(spark, data):
+    r = random.Random(12)
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    host = [x.text.split() for x in spark.read.parquet(f"{data}/documents.parquet").collect() if x.text]
+    pool = [w for words in host for w in words[:200]]
+    docs = []
+    for i, (_, text) in enumerate(items):
+        words, at = r.choice(host)[:600], r.randrange(100)
+        docs.append((i, " ".join([*words[:at], *[r.choice(pool) if r.random() < 0.3 else w for w in text.split()], *words[at:]])))
+    found = {(x.doc_id, x.item_id) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, item) in found for i, (item, _) in enumerate(items)) >= 0.95 * len(items)
+
+
 def test_decontamination_without_items(spark, odd):
     assert decontam.contaminated(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
