@@ -8,8 +8,8 @@ each (MinHash), whatever its length. Texts with a cosine of 0.8 have at least 0.
 and such texts share a key with probability 1 - (1 - 0.64^3)^48: they miss each other once in two million cases.
 
 Texts that share a key are a bucket. They first meet its hubs; then those of a bucket that are still in different
-components meet each other. In a small bucket all do; in a larger one those that share one of their rarest
-shingles, as similar texts must (prefix filter), so that a passage common to the whole bucket makes no pairs.
+components meet each other if they share one of their rarest shingles, as similar texts must (prefix filter), so that
+a passage which many texts have in common makes no pairs.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ BANDS, LEAST = 48, 3
 FLIPS, FACTORS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * LEAST, 1), np.uint64) | np.array([0, 1], np.uint64)[:, None, None]
 #: Texts and shingles of a bucket's block, and shingles compared at a time.
 BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 64, 1 << 19, 1 << 13
-#: Pairs of one hub that one task checks.
-PAIRS = 256
+#: Pairs of one hub that one task checks, and texts of a group whose pairs are listed.
+PAIRS, FEW = 256, 32
 MEASURES = ("cosine", "jaccard")
 
 
@@ -127,7 +127,7 @@ def _digest(text: bytes) -> bytes:
 
 
 def _rare(members: DataFrame, texts: Texts, similarity: float, words_in_shingle: int, measure: str) -> DataFrame:
-    """Members of large buckets dealt anew, by the bucket and one of the rarest shingles that they share in it.
+    """(key, node, label, size): members (node, label) dealt by each of their rarest shingles that others have among theirs.
 
     A set shares similarity^2 (cosine) or similarity (jaccard) of its shingles with a similar one at least. So if each
     leaves out fewer of its shingles than that, in an order common to all, a pair that is similar still shares one.
@@ -135,45 +135,51 @@ def _rare(members: DataFrame, texts: Texts, similarity: float, words_in_shingle:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, every = batch.column(3).to_pylist(), binary_list(batch, "text")
-            for i, text in enumerate(every):
+            digests = batch.column(2).to_pylist()
+            for i, text in enumerate(binary_list(batch, "text")):
                 if _digest(text) == digests[i]:
                     h = shingle_hashes(text, words_in_shingle).view(np.int64)
-                    same = [pa.array([batch.column(c)[i].as_py()] * len(h), pa.int64()) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(h), pa.array([len(h)] * len(h), pa.int64())], ["key", "node", "label", "h", "size"])
-
-    held = members.select("key", "node", "label").join(texts.of(members), "node").select("key", "node", "label", "digest", "text")
-    tokens = settle(map_arrow(held, run, "key long, node long, label long, h long, size long").distinct())
-    often = settle(tokens.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n")))
-    ranked = look_up(tokens, often, ["key", "h"])
-    first = ranked.groupBy("key", "node", "label", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("all"))
+                    same = [pa.array(np.full(len(h), x), pa.int64()) for x in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(h))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(h)], ["node", "label", "size", "key"])
+
+    held = members.join(texts.of(members), "node").select("node", "label", "digest", "text")
+    tokens = settle(map_arrow(held, run, "node long, label long, size long, key long").distinct())
+    often = settle(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    first = look_up(tokens, often, "key").groupBy("node", "label", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all"))
     share = F.lit(similarity**2 if measure == "cosine" else similarity)
     kept = F.slice("all", 1, (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int"))
-    rare = first.select("key", "node", "label", "size", F.explode(F.filter(kept, lambda x: x["n"] > 1)).alias("x"))
-    return rare.select(F.xxhash64("key", "x.h").alias("key"), "node", "label", "size")
+    rare = first.select("node", "label", "size", F.explode(F.filter(kept, lambda x: x["n"] > 1)).alias("x"))
+    return rare.select("x.key", "node", "label", "size")
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets with more than one label."""
-    labels = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return settle(members.join(labels, "key"))
+    """Members of groups with more than one label, and in `n` how many a group has."""
+    labels = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    return members.join(labels.select("key", "n"), "key")
 
 
-def _rest(shared: DataFrame, hubs: DataFrame, edges: DataFrame, nodes: DataFrame, texts: Texts, similarity: float, words_in_shingle: int, measure: str) -> DataFrame | None:
+def _rest(shared: DataFrame, hubs: DataFrame, edges: DataFrame, checked: DataFrame, texts: Texts, similarity: float, words_in_shingle: int, measure: str) -> DataFrame | None:
     """(src, dst) between texts of a bucket that edges leave in different components, hubs apart; None if there are no such texts.
 
-    The texts outside a bucket's largest component meet each other and those inside it, in blocks of bounded size.
+    They meet by their rarest shingles: pair by pair in small groups, in blocks of bounded size in large ones.
     """
     roots = connected_components(edges)
-    apart = shared.join(hubs, "key").where("not array_contains(hubs, node)").select("key", "node")
+    apart = shared.select("key", "node").join(hubs, "key").where("not array_contains(hubs, node)").select("key", "node")
     apart = apart.join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    members = _open(settle(apart.join(nodes.select("node", "size"), "node")))
+    members = settle(_open(apart).select("node", "label").distinct())
     if is_empty(members):
         return None
-    big = settle(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_TEXTS).select("key"))
-    if not is_empty(big):
-        rare = _rare(members.join(big, "key", "left_semi"), texts, similarity, words_in_shingle, measure)
-        members = _open(settle(members.join(big, "key", "left_anti").unionByName(rare)))
+    met = settle(_open(_rare(members, texts, similarity, words_in_shingle, measure)))
+    few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("all")).select("all").distinct()
+    others = lambda x: F.transform(F.filter("all", lambda y: (y["node"] > x["node"]) & (y["label"] != x["label"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+    pairs = few.select(F.explode(F.flatten(F.transform("all", others))).alias("p")).select("p.a", "p.b").distinct()
+    found = _checked(settle(pairs.join(checked, ["a", "b"], "left_anti")), texts, similarity, words_in_shingle, measure)
+    many = settle(met.where(F.col("n") > FEW))
+    return found if is_empty(many) else found.union(_in_blocks(many, texts, similarity, words_in_shingle, measure))
+
+
+def _in_blocks(members: DataFrame, texts: Texts, similarity: float, words_in_shingle: int, measure: str) -> DataFrame:
+    """(src, dst) in groups of any size: the texts outside a group's largest component meet each other and those inside it."""
     labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     top = labels.groupBy("key").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_TEXTS, size / BLOCK_SHINGLES)).cast("int")
@@ -184,7 +190,7 @@ def _rest(shared: DataFrame, hubs: DataFrame, edges: DataFrame, nodes: DataFrame
     among = F.transform(numbers("outside"), lambda x: meeting(False, F.least("block", x), F.greatest("block", x)))
     across = F.transform(numbers("inside"), lambda x: meeting(True, F.col("block"), x))
     visits = F.when(F.col("label") == F.col("main"), F.transform(numbers("outside"), lambda x: meeting(True, x, F.col("block")))).otherwise(F.concat(among, across))
-    # blocks of different buckets that hold the same texts meet once
+    # blocks that hold the same texts meet once
     dealt = dealt.select("key", "node", "label", F.explode(visits).alias("visit"))
     met = dealt.groupBy("key", "visit").agg(F.sort_array(F.collect_set(F.struct("node", "label"))).alias("all")).select("all").distinct()
     met = settle(met.where(F.size("all") > 1).select(F.monotonically_increasing_id().alias("block"), "all"))
@@ -282,7 +288,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle:
     pairs = shared.join(hubs, "key").select(F.col("node").alias("a"), F.explode("hubs").alias("b")).where("a <> b").union(alike)
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     edges = settle(_checked(pairs, texts, similarity, words_in_shingle, measure))
-    rest = _rest(shared, hubs, edges, nodes, texts, similarity, words_in_shingle, measure)
+    rest = _rest(shared, hubs, edges, pairs, texts, similarity, words_in_shingle, measure)
     edges = edges if rest is None else edges.union(rest)
     roots = connected_components(edges)
     named = settle(owners.join(roots, "node", "left").select("digest", "doc_id", "n", F.coalesce("component", "node").alias("group")))

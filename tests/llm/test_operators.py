@@ -556,9 +556,9 @@ def test_decontamination_against_every_place_and_in_groups(spark, data, monkeypa
                     expected.add((d, i))
     found = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect())
     assert len(expected) >= 3 and set(found) == expected and len(found) == len(expected)
-    monkeypatch.setattr(decontam, "GROUP", 10_000)
+    monkeypatch.setattr(decontam, "GROUP", 1000)
     assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, benchmark).collect()) == found
-    monkeypatch.setattr(decontam, "MOST", 10_000)
+    monkeypatch.setattr(decontam, "MOST", 1000)
     with pytest.raises(ValueError):
         decontam.contaminated(docs, benchmark)
 
