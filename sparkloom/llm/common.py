@@ -47,9 +47,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors.
+
+    A checkpoint keeps its plan's size estimate, and joins multiply estimates: after some rounds of an iteration they
+    have millions of digits, which takes the driver longer than the rounds. So the rows get a plan without one.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -111,7 +117,8 @@ def look_up(rows: DataFrame, found: DataFrame, key: str | list[str], size: str =
     if is_empty(hot):
         return rows.join(found, names)
     rest = rows.join(F.broadcast(hot.select(*names)), names, "left_anti").join(found.where(~often), names)
-    return rows.join(F.broadcast(hot), names).unionByName(rest)
+    # as many partitions as rows had: a union has those of both, and repeated look-ups would double them each time
+    return rows.join(F.broadcast(hot), names).unionByName(rest).coalesce(rows._jdf.queryExecution().toRdd().getNumPartitions())
 
 
 def first_texts(rows: DataFrame) -> DataFrame:

@@ -30,9 +30,11 @@ from .simhash import CHUNK, embedding, links
 BANDS, LEAST = 48, 3
 FLIPS, FACTORS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * LEAST, 1), np.uint64) | np.array([0, 1], np.uint64)[:, None, None]
 #: Texts and shingles of a bucket's block, and shingles compared at a time.
-BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 64, 1 << 19, 1 << 13
+BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 256, 1 << 18, 1 << 13
 #: Pairs of one hub that one task checks, and texts of a group whose pairs are listed.
 PAIRS, FEW = 256, 32
+#: Tasks that blocks are dealt over at most.
+DEALT = 10_000
 MEASURES = ("cosine", "jaccard")
 
 
@@ -175,7 +177,21 @@ def _rest(shared: DataFrame, hubs: DataFrame, edges: DataFrame, checked: DataFra
     pairs = few.select(F.explode(F.flatten(F.transform("all", others))).alias("p")).select("p.a", "p.b").distinct()
     found = _checked(settle(pairs.join(checked, ["a", "b"], "left_anti")), texts, similarity, words_in_shingle, measure)
     many = settle(met.where(F.col("n") > FEW))
-    return found if is_empty(many) else found.union(_in_blocks(many, texts, similarity, words_in_shingle, measure))
+    return found if is_empty(many) else found.union(_in_blocks(_merged(many), texts, similarity, words_in_shingle, measure))
+
+
+def _merged(many: DataFrame) -> DataFrame:
+    """Members of large groups. Groups that hang together are one where it has no more pairs than they have: then a pair meets once."""
+    groups = many.groupBy("key").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    roots = settle(connected_components(many.join(groups.select("key", F.col("node").alias("src")), "key").select("src", F.col("node").alias("dst"))))
+    groups = settle(groups.join(roots, "node").select("key", "component", "n"))
+    single = settle(many.select("node", "label", "size").distinct().join(roots, "node"))
+    apart = groups.groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("apart"))
+    whole = single.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(apart, "component").where(F.col("n") * F.col("n") <= F.col("apart")).select("component")
+    whole = settle(whole)
+    merged = single.join(whole, "component").select(F.xxhash64("component", F.lit("merged")).alias("key"), "node", "label", "size")
+    left = many.join(groups.join(whole, "component", "left_anti").select("key"), "key", "left_semi")
+    return settle(merged.union(left.select("key", "node", "label", "size")))
 
 
 def _in_blocks(members: DataFrame, texts: Texts, similarity: float, words_in_shingle: int, measure: str) -> DataFrame:
@@ -195,7 +211,8 @@ def _in_blocks(members: DataFrame, texts: Texts, similarity: float, words_in_shi
     met = dealt.groupBy("key", "visit").agg(F.sort_array(F.collect_set(F.struct("node", "label"))).alias("all")).select("all").distinct()
     met = settle(met.where(F.size("all") > 1).select(F.monotonically_increasing_id().alias("block"), "all"))
     single = met.select("block", F.explode("all").alias("x")).select("block", "x.node", "x.label")
-    met = single.join(texts.of(single), "node").groupBy("block").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("node", "label", "digest", "text")])
+    # few rows, but each is a block's work
+    met = single.join(texts.of(single), "node").repartition(min(DEALT, max(1, met.count())), "block").groupBy("block").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("node", "label", "digest", "text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
