@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, look_up, settle
+from .common import free_shuffles, is_empty, look_up, settle
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -29,6 +29,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = look_up(moved, jump, "label", "held")
         labels = settle(labels.select("node", "n", F.least("label", "next").alias("component"), (F.col("was") != F.least("label", "next")).alias("changed")))
         changed = not is_empty(labels.where("changed"))
+        free_shuffles(labels.sparkSession)
         labels = labels.drop("changed")
         if not changed:
             return labels.select("node", "component")

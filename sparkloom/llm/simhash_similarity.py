@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, id_text, is_empty, look_up, map_arrow, settle
+from .common import binary_list, free_shuffles, id_text, is_empty, look_up, map_arrow, settle
 from .components import connected_components
 from .simhash import CHUNK, embedding, links
 
@@ -147,6 +147,7 @@ def _rare(members: DataFrame, texts: Texts, similarity: float, words_in_shingle:
     held = members.join(texts.of(members), "node").select("node", "label", "digest", "text")
     tokens = settle(map_arrow(held, run, "node long, label long, size long, key long").distinct())
     often = settle(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    free_shuffles(members.sparkSession)
     first = look_up(tokens, often, "key").groupBy("node", "label", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all"))
     share = F.lit(similarity**2 if measure == "cosine" else similarity)
     kept = F.slice("all", 1, (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int"))
@@ -171,7 +172,9 @@ def _rest(shared: DataFrame, hubs: DataFrame, edges: DataFrame, checked: DataFra
     members = settle(_open(apart).select("node", "label").distinct())
     if is_empty(members):
         return None
+    free_shuffles(members.sparkSession)
     met = settle(_open(_rare(members, texts, similarity, words_in_shingle, measure)))
+    free_shuffles(members.sparkSession)
     few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("all")).select("all").distinct()
     others = lambda x: F.transform(F.filter("all", lambda y: (y["node"] > x["node"]) & (y["label"] != x["label"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
     pairs = few.select(F.explode(F.flatten(F.transform("all", others))).alias("p")).select("p.a", "p.b").distinct()
@@ -267,8 +270,8 @@ def _checked(pairs: DataFrame, texts: Texts, similarity: float, words_in_shingle
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle: int = 5, measure: str = "cosine") -> DataFrame:
     """(doc_id, component_id): groups of documents linked by a similarity of their shingle sets of at least `similarity`.
 
-    Texts that are equal after lower-casing A-Z and joining words by one space are one node. Nodes that share a key meet three
-    hubs, the one with the most company over all its keys among them, and then whoever is still in another component;
+    Texts that are equal after lower-casing A-Z and joining words by one space are one node. Nodes that share a key meet two
+    hubs, the first and the one with the most company over all its keys, and then whoever is still in another component;
     each meeting is checked on the whole texts.
     Nulls: a null text counts as empty; texts without words are one group. A null doc_id gets a null
     component and takes no part. Repeated rows come back repeated, and rows that share a doc_id but not the text
@@ -292,21 +295,24 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle:
     held = made.join(owners.select("digest", "doc_id", "node"), ["digest", "doc_id"]).dropDuplicates(["node"])
     nodes = settle(held.select("node", "doc_id", "digest", "fp", "cell", "size", "keys"))
     texts = Texts(rows, nodes)
+    free_shuffles(docs.sparkSession)
     prints = settle(nodes.groupBy("fp", "cell").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")))
     alike = look_up(nodes.select("fp", "node"), prints.select("fp", "n", F.col("node").alias("b")), "fp").select(F.col("node").alias("a"), "b").where("a <> b")
     alike = alike.union(links(prints).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     spread = nodes.select("node", F.explode("keys").alias("key"))
-    met = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.min(F.struct(F.xxhash64("node", "key"), F.col("node").alias("any"))).getField("any").alias("any"))
+    met = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"))
     met = settle(met.where("n > 1"))
     shared = settle(spread.join(met.select("key", "n"), "key"))
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
     most = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).getField("node").alias("most"))
-    hubs = settle(met.join(most, "key").select("key", F.array_distinct(F.array("low", "any", "most")).alias("hubs")))
+    hubs = settle(met.join(most, "key").select("key", F.array_distinct(F.array("low", "most")).alias("hubs")))
     pairs = shared.join(hubs, "key").select(F.col("node").alias("a"), F.explode("hubs").alias("b")).where("a <> b").union(alike)
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    free_shuffles(docs.sparkSession)
     edges = settle(_checked(pairs, texts, similarity, words_in_shingle, measure))
     rest = _rest(shared, hubs, edges, pairs, texts, similarity, words_in_shingle, measure)
-    edges = edges if rest is None else edges.union(rest)
+    edges = edges if rest is None else settle(edges.union(rest))
+    free_shuffles(docs.sparkSession)
     roots = connected_components(edges)
     named = settle(owners.join(roots, "node", "left").select("digest", "doc_id", "n", F.coalesce("component", "node").alias("group")))
     least = settle(named.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("texts")))
