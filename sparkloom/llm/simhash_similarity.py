@@ -267,6 +267,13 @@ def _checked(pairs: DataFrame, texts: Texts, similarity: float, words_in_shingle
     return map_arrow(both, check, "src long, dst long").distinct()
 
 
+def _fewer(edges: DataFrame) -> DataFrame:
+    """Links with the same components: of a text's links to hubs one stays, and its hubs are linked to each other instead."""
+    first = edges.groupBy("src").agg(F.min("dst").alias("first"))
+    hubs = edges.join(first, "src").where("dst <> first").select(F.col("dst").alias("src"), F.col("first").alias("dst"))
+    return first.select("src", F.col("first").alias("dst")).union(hubs).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle: int = 5, measure: str = "cosine") -> DataFrame:
     """(doc_id, component_id): groups of documents linked by a similarity of their shingle sets of at least `similarity`.
 
@@ -309,7 +316,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words_in_shingle:
     pairs = shared.join(hubs, "key").select(F.col("node").alias("a"), F.explode("hubs").alias("b")).where("a <> b").union(alike)
     pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     free_shuffles(docs.sparkSession)
-    edges = settle(_checked(pairs, texts, similarity, words_in_shingle, measure))
+    edges = settle(_fewer(settle(_checked(pairs, texts, similarity, words_in_shingle, measure))))
     rest = _rest(shared, hubs, edges, pairs, texts, similarity, words_in_shingle, measure)
     edges = edges if rest is None else settle(edges.union(rest))
     free_shuffles(docs.sparkSession)
