@@ -27,6 +27,13 @@ HEADLINES = (
 )
 
 
+def _calibrate(spark: SparkSession, cpus: int) -> float:
+    """Seconds of a fixed computation that reads nothing: times are comparable between machines as multiples of it."""
+    began = time.perf_counter()
+    spark.range(0, 200_000_000, 1, cpus).selectExpr("sum(id * 7 % 1000003) AS s").collect()
+    return time.perf_counter() - began
+
+
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     warmups, samples = int(os.environ.get("BENCH_WARMUPS", "2")), int(os.environ.get("BENCH_SAMPLES", "5"))
@@ -41,6 +48,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    calibration = [_calibrate(spark, int(cpus)) for _ in range(6)]
     times: dict[str, list[float]] = {n: [] for n in HEADLINES}
     rows: dict[str, int] = {}
     for turn in range(warmups + samples):
@@ -55,7 +63,7 @@ def main() -> None:
             if turn >= warmups:
                 times[name].append(seconds)
     found = {n: round(statistics.median(t), 4) for n, t in times.items()}
-    print(json.dumps({"metric": "sum of median query seconds", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "rows": rows, "cores": int(cpus)}))
+    print(json.dumps({"metric": "sum of median query seconds", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "rows": rows, "cores": int(cpus), "calibration": round(min(calibration), 4), "load": round(os.getloadavg()[0], 2)}))
     spark.stop()
 
 

@@ -23,3 +23,7 @@ class MultipleRows(SparkloomError, LookupError):
 
 class DuplicateKey(SparkloomError, ValueError):
     pass
+
+
+class Conflict(SparkloomError, RuntimeError):
+    """Another writer has changed what a transaction read."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column
@@ -14,6 +15,8 @@ from ..errors import BuildError
 from ..operators.model import MOST_DIMENSIONS
 
 METRICS = ("l2", "cosine")
+#: Dimensions up to which a distance is written out; beyond, an aggregate over the array.
+UNROLLED = 128
 
 
 class Vector(tuple):
@@ -48,6 +51,15 @@ def distance(column: Column, to: Vector, metric: str) -> Column:
     """Distance of an array column from a literal vector in double precision; NULL for NULL and for other dimensions."""
     if metric not in METRICS:
         raise BuildError(f"unknown metric {metric!r}")
+    if len(to) <= UNROLLED:  # sums of products stay in generated code
+        at = [F.get(column, F.lit(i)).cast("double") for i in range(len(to))]
+        sum_ = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0.0))
+        if metric == "l2":
+            out = F.sqrt(sum_([(a - F.lit(float(x))) * (a - F.lit(float(x))) for a, x in zip(at, to, strict=True)]))
+        else:
+            norm = F.sqrt(sum_([a * a for a in at])) * F.lit(math.sqrt(sum(x * x for x in to)))
+            out = F.when(norm > 0, 1 - sum_([a * F.lit(float(x)) for a, x in zip(at, to, strict=True)]) / norm)
+        return F.when(F.size(column) == len(to), out)
     v, q = column.cast("array<double>"), F.array(*[F.lit(float(x)) for x in to])
     add = lambda a, b: a + b
     zero = F.lit(0.0)

@@ -47,6 +47,13 @@ def _conflict(df: DataFrame, new: DataFrame, model: Model) -> None:
             raise DuplicateKey(f"{model.name}: {', '.join(f.name for f in key)}")
 
 
+def _single(new: DataFrame, model: Model) -> None:
+    for key in model.unique_keys:
+        columns = [f.column for f in key]
+        if new.where(conjunction([F.col(c).isNotNull() for c in columns])).groupBy(*columns).count().where("count > 1").limit(1).count():
+            raise DuplicateKey(f"{model.name}: {', '.join(f.name for f in key)} is repeated")
+
+
 @dataclass(frozen=True)
 class Insert:
     """Adds rows; a duplicate of any declared key raises. Missing auto_random keys are allocated above the largest."""
@@ -80,7 +87,9 @@ def _typed(new: DataFrame, like: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Upsert:
-    """Inserts, or updates the row that has one of the declared keys; `fields` limits what is updated."""
+    """Inserts, or updates the row that has one of the declared keys; `fields` limits what is updated.
+
+    Values are taken one after another: one that has a key of an earlier one updates that."""
 
     model: Model
     values: tuple[dict, ...]
@@ -92,7 +101,24 @@ class Upsert:
         for f in self.fields:
             if self.model.field(f).pk:
                 raise BuildError(f"{f} is a primary key field")
-        return _typed(rows_frame(df.sparkSession, self.model, self.values, _writable(self.model)), df)
+        return _typed(rows_frame(df.sparkSession, self.model, self._folded(), _writable(self.model)), df)
+
+    def _folded(self) -> list[dict]:
+        """The values with those that repeat a declared key folded into the first that has it."""
+        changed = self.fields or tuple(f.name for f in _writable(self.model) if not f.pk)
+        rows: list[dict] = []
+        at: dict[tuple, int] = {}
+        for v in self.values:
+            keys = [k for i, key in enumerate(self.model.unique_keys) if None not in (k := (i, *(v.get(f.name) for f in key)))]
+            place = next((at[k] for k in keys if k in at), None)
+            if place is None:
+                place = len(rows)
+                rows.append(dict(v))
+            else:
+                rows[place] |= {name: v.get(name) for name in changed}
+            row = rows[place]
+            at |= {k: place for i, key in enumerate(self.model.unique_keys) if None not in (k := (i, *(row.get(f.name) for f in key)))}
+        return rows
 
     def apply(self, df: DataFrame) -> DataFrame:
         return self.merge(df, self._new(df)) if self.values else df
@@ -100,20 +126,27 @@ class Upsert:
     def merge(self, df: DataFrame, new: DataFrame) -> DataFrame:
         """The state after `new` (columns of the model, keys unique within it) is upserted.
 
-        Keys are tried in declared order, as equi-joins, so a row is updated by its first conflict."""
+        Keys are tried in declared order, as equi-joins, so a row is updated by its first conflict. The last key's
+        join gives both what is updated and what is inserted. A key that is repeated in `new` raises."""
+        _single(new, self.model)
         columns = [f.column for f in _writable(self.model)]
         changed = [self.model.field(n).column for n in self.fields] or [f.column for f in _writable(self.model) if not f.pk]
         state, left = df, new
-        for key in self.model.unique_keys:
-            names = [f.column for f in key]
+        for i, key in enumerate(self.model.unique_keys):
+            names, last = [f.column for f in key], i == len(self.model.unique_keys) - 1
             incoming = left.select(*[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("new_row"))
             on = _equal([F.col(n) for n in names], [F.col(f"new_{n}") for n in names])
+            if last:
+                known = state.withColumn("old_row", F.lit(True)).join(incoming, on, "full_outer")
+                taken = lambda c: F.when(F.col("old_row").isNull(), F.col(f"new_{c}")).when(F.col("new_row"), F.col(f"new_{c}")).otherwise(F.col(c))
+                kept = lambda c: F.when(F.col("old_row").isNull(), F.col(f"new_{c}")).otherwise(F.col(c))
+                return known.select(*[(taken(c) if c in changed else kept(c) if c in columns else F.col(c)).alias(c) for c in df.columns])
             joined = state.join(incoming, on, "left")
             # NULL is a legal new value: whether a row matched decides, not whether the value is there
             updated = joined.select(*[F.when(F.col("new_row"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in df.columns])
-            left = left.join(state.select(*names), names, "left_anti")
+            left = left.join(state.select(*names), names, "left_anti").select(*new.columns)
             state = updated
-        return state.unionByName(left.select(*columns), allowMissingColumns=True)
+        return state
 
     def affected(self, df: DataFrame) -> int:
         return len(self.values)
@@ -226,6 +259,10 @@ class UpdateWhere:
     def assigned(self) -> tuple[str, ...]:
         return tuple(a.field for a in self.assignments)
 
+    @property
+    def added(self) -> tuple[str, ...]:
+        return tuple(a.field for a in self.assignments if a.add)
+
     def validate(self) -> UpdateWhere:
         if not self.assignments or len(set(self.assigned)) < len(self.assignments):
             raise BuildError("UpdateWhere needs assignments, one for a field")

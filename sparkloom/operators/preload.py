@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import BuildError
 from ..sources.tables import TableSource
@@ -35,6 +36,8 @@ def check_preload(model: Model, p: Preload) -> None:
     for part in p.path.split("."):
         relation, keys, owner = model.relation(part), model.resolve(part), model
         model = keys.target
+        if not relation.collection and not model.is_unique({f.name for f in model.fields if f.column in [b for _, b in keys.direct]}):
+            raise BuildError(f"{p.path}: {model.name}'s key for {part} isn't declared unique, so it could multiply rows")
     if len(set(p.fields)) < len(p.fields):
         raise BuildError(f"{p.path}: a field is selected twice")
     for f in p.fields:
@@ -118,15 +121,34 @@ def _join(df: DataFrame, scope: Scope, node: Node, source: TableSource) -> tuple
         sorts.append((c, o.descending))
     # without a wish the target's key gives a stable order
     sorts += [(to.column(f.column), False) for f in keys.target.pk] if not any(not o.name.startswith("Edge.") and o.name in {f.name for f in keys.target.pk} for o in node.options.order_by) else []
-    item = F.struct(*[c.alias(f"s{i}") for i, (c, _) in enumerate(sorts)], payload.alias("one"))
+    kinds = [f.dataType for f in rows.select(*[c for c, _ in sorts]).schema] if sorts else []
+    encoded = [_ascending(c, down, kind) for (c, down), kind in zip(sorts, kinds, strict=True)]
+    # a struct sorts by its fields in turn, without an interpreted comparison, if all of them can be made to ascend
+    native = all(e is not None for e in encoded)
+    item = F.struct(*[(e if native else c).alias(f"s{i}") for i, ((c, _), e) in enumerate(zip(sorts, encoded, strict=True))], payload.alias("one"))
     keyed = rows.select(*[c.alias(f"k{i}") for i, c in enumerate(owner)], item.alias("item")).where(conjunction([F.col(f"k{i}").isNotNull() for i in range(len(owner))]))
     gathered = keyed.groupBy(*[f"k{i}" for i in range(len(owner))]).agg(F.collect_list("item").alias("items"))
-    ordered = _sorted(F.col("items"), [d for _, d in sorts]) if sorts else F.col("items")
+    ordered = F.col("items")
+    if sorts:
+        ordered = F.sort_array("items") if native else _sorted(F.col("items"), [d for _, d in sorts])
     loaded = gathered.select(*[f"k{i}" for i in range(len(owner))], F.transform(ordered, lambda x: x["one"]).alias("many")).alias(label)
     on = conjunction([scope.column(a) == F.col(f"{label}.k{i}") for i, (a, _) in enumerate(pairs)])
     return df.join(loaded, on, "left"), F.coalesce(F.col(f"{label}.many"), F.array().cast(loaded.schema["many"].dataType))
 
 
+def _ascending(c: Column, descending: bool, kind: T.DataType) -> Column | None:
+    """A value whose ascending order, NULL first, is the wished order; None if there is none for the type."""
+    if not descending:
+        return c
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        turned = F.bitwise_not(c)
+    elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        turned = -c
+    else:
+        return None
+    return F.struct(c.isNull().alias("last"), turned.alias("turned"))
+
+
 def _sorted(items: Column, descending: list[bool]) -> Column:
     def order(a: Column, b: Column) -> Column:
         out = F.lit(0)

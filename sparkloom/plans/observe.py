@@ -29,12 +29,21 @@ class Event:
 
 
 _observers: contextvars.ContextVar[tuple[tuple[Callable[[Event], None], bool], ...]] = contextvars.ContextVar("observers", default=())
-SECRET = re.compile(r"(?i)((?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*)(\S+)|(\w+://[^:/@\s]+:)([^@\s]+)(@)")
-
-
-def redact(text: str) -> str:
-    """Passwords in URLs and key=value secrets, replaced."""
-    return SECRET.sub(lambda m: f"{m[1]}***" if m[1] else f"{m[3]}***{m[5]}", text)
+#: Names of secrets, alone or after other words, and what stands for a secret.
+LAST_WORDS = ("password", "passwd", "pwd", "token", "secret", "dsn")
+WHOLE_NAMES = ("credential", "api[_-]?key", "access[_-]?key", "private[_-]?key")
+REPLACEMENT = "[REDACTED]"
+NAME = rf"(?:(?:[a-z0-9]+[_-])*(?:{'|'.join(LAST_WORDS)})|{'|'.join(WHOLE_NAMES)})"
+URL = re.compile(r"(\w[\w+.-]*://[^:/@\s]+:)[^@\s/]+(?=@)")
+ASSIGNED = re.compile(rf"""(?i)(["']?{NAME}["']?\s*[:=]\s*)(?:(")(?:\\.|[^"\\])*"|(')(?:\\.|[^'\\])*'|[^"',;}}\s&]+)""")
+
+
+def redact(text: str, *secrets: str) -> str:
+    """Passwords in URLs, values of names that stand for secrets, and the given secrets, replaced."""
+    for s in sorted(filter(None, secrets), key=len, reverse=True):
+        text = text.replace(s, REPLACEMENT)
+    text = URL.sub(lambda m: m[1] + REPLACEMENT, text)
+    return ASSIGNED.sub(lambda m: f"{m[1]}{(q := m[2] or m[3] or '')}{REPLACEMENT}{q}", text)
 
 
 class RedactingFilter(logging.Filter):

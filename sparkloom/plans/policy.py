@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
 from ..errors import BuildError
 from ..sources.tables import TableSource
 
@@ -39,13 +41,18 @@ class Policy:
         return found
 
     def source(self, source: TableSource) -> TableSource:
-        """The source in a session of its own with this policy's settings; catalogs and derived frames keep theirs."""
-        if not self.settings() or source.derived or not source.folder:
+        """The source in a session of its own with this policy's settings.
+
+        Only a folder's tables, and tables that are derived by a function, can be read anew there. For a catalog or given
+        DataFrames the policy would do nothing, which is an error."""
+        if not self.settings():
             return source
+        if not source.folder or any(isinstance(x, DataFrame) for x in source.derived.values()):
+            raise BuildError("a read policy needs tables of a folder: it can't change how a catalog or a DataFrame is read")
         session = source.spark.newSession()
         # what the caller has set holds in the new session too
         for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
             session.conf.set(key, source.spark.conf.get(key))
         for key, value in self.settings().items():
             session.conf.set(key, value)
-        return TableSource(session, source.folder)
+        return TableSource(session, source.folder, source.derived)

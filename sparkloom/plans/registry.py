@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..operators.aggregate import UNBOUNDED, Aggregate, Avg, Count, CountAll, CountDistinct, CountIf, Date, DenseRank, Field, FirstValue, Lag, LastValue, Lead, Max, Min, Rank, RowNumber, RowsBetween, Sum, SumIf, YearMonth, spec
 from ..operators.demo import Customer, Document, Embedding, Event, Nation, Order, Part, SoftCustomer, SoftOrder, Supplier
 from ..operators.model import Field as Column
-from ..operators.model import Junction, Model, many_to_many
-from ..operators.mutation import DeleteWhere, Increment, Insert, Links, Set, UpdateMany, UpdateWhere, Upsert
+from ..operators.model import Junction, Model, belongs_to, many_to_many
+from ..operators.mutation import CompositeKey, Delete, DeleteWhere, Increment, Insert, Links, Set, Update, UpdateMany, UpdateWhere, Upsert
 from ..operators.nearest import nearest
 from ..operators.order import Asc, Desc
 from ..operators.predicate import And, Between, Contains, Equal, GreaterThan, GreaterThanOrEqual, Has, HasPrefix, HasSuffix, In, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, NotEqual, NotIn, Or
@@ -208,8 +208,8 @@ add(
 )
 add(
     "preload_via_order",
-    lambda s: Query(Part).where(LessThan("PartKey", 50)).select("PartKey").preload("Suppliers", fields=("SuppKey",), order_by=(Desc("Edge.Quantity"), Asc("SuppKey"))).df(s).select("PartKey", F.posexplode("Suppliers").alias("At", "S")).select("PartKey", F.col("At").cast("long").alias("At"), F.col("S.SuppKey").alias("SuppKey")),
-    'SELECT l_partkey AS "PartKey", row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_suppkey) - 1 AS "At", l_suppkey AS "SuppKey" FROM lineitem WHERE l_partkey < 50',
+    lambda s: Query(Part).select("PartKey").preload("Suppliers", fields=("SuppKey",), order_by=(Desc("Edge.Quantity"), Asc("SuppKey"))).df(s).select("PartKey", F.posexplode("Suppliers").alias("At", "S")).select("PartKey", F.col("At").cast("long").alias("At"), F.col("S.SuppKey").alias("SuppKey")),
+    'SELECT l_partkey AS "PartKey", row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_suppkey) - 1 AS "At", l_suppkey AS "SuppKey" FROM lineitem',
 )
 add("preload_soft_deleted", lambda s: Query(SoftCustomer).select("CustKey").preload("Orders").df(s).select("CustKey", F.size("Orders").cast("long").alias("N")), 'SELECT c_custkey AS "CustKey", count(o_orderkey) AS "N" FROM customer LEFT JOIN soft_orders ON o_custkey = c_custkey AND deleted_at IS NULL GROUP BY 1', SOFT)
 
@@ -299,3 +299,159 @@ def _workload(s: TableSource) -> DataFrame:
 
 
 add("workload_baseline", _workload, "SELECT count(*) AS scopes, round(greatest(1.30 * avg(c), max(c)), 4) AS cost_bound, round(greatest(1.30 * avg(n), max(n)), 4) AS statements_bound FROM (SELECT scope, sum(value) AS c, count(*) AS n FROM e GROUP BY 1)", SCOPES)
+
+
+# Terminals: what they collect, as a table again
+def frame(s: TableSource, found, schema: str) -> DataFrame:
+    return s.spark.createDataFrame([tuple(r) if isinstance(r, tuple) else (r,) for r in found], schema)
+
+
+KEYED = O.order_by(Desc("TotalPrice"), Asc("OrderKey")).select("OrderKey", "Status")
+add("all", lambda s: frame(s, Query(Nation).select("NationKey", "Name").all(s), "NationKey int, Name string"), 'SELECT n_nationkey AS "NationKey", n_name AS "Name" FROM nation')
+add("scan_all", lambda s: frame(s, Query(Nation).select("Name").scan_all(s), "Name string"), 'SELECT n_name AS "Name" FROM nation')
+add("first", lambda s: frame(s, [KEYED.first(s)], "OrderKey long, Status string"), 'SELECT o_orderkey AS "OrderKey", o_orderstatus AS "Status" FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1')
+add("only", lambda s: frame(s, [O.select("OrderKey", "Status").where(Equal("OrderKey", 7)).only(s)], "OrderKey long, Status string"), 'SELECT o_orderkey AS "OrderKey", o_orderstatus AS "Status" FROM orders WHERE o_orderkey = 7')
+
+# Relations of a table with itself, and deleted rows
+Peer = Model("Peer", "customer", Customer.fields, [belongs_to("Other", lambda: Peer, ("NationKey",), ("CustKey",))])
+PEER = "EXISTS (SELECT 1 FROM customer p WHERE p.c_custkey = c.c_nationkey AND p.c_acctbal > 0)"
+add("has_self", Query(Peer).where(Has("Other", GreaterThan("AcctBal", 0.0))).select("CustKey").df, f'SELECT c_custkey AS "CustKey" FROM customer c WHERE {PEER}')
+add("not_has_self", Query(Peer).where(Not(Has("Other", GreaterThan("AcctBal", 0.0)))).select("CustKey").df, f'SELECT c_custkey AS "CustKey" FROM customer c WHERE NOT {PEER}')
+add("preload_self", lambda s: Query(Peer).select("CustKey").preload("Other").df(s).select("CustKey", F.col("Other.Name").alias("Other")), 'SELECT c.c_custkey AS "CustKey", p.c_name AS "Other" FROM customer c LEFT JOIN customer p ON p.c_custkey = c.c_nationkey')
+add("agg_self", Aggregate(Peer).select(Field("Other.Segment").As("Segment"), CountAll().As("N")).group_by("Segment").df, 'SELECT p.c_mktsegment AS "Segment", count(*) AS "N" FROM customer c LEFT JOIN customer p ON p.c_custkey = c.c_nationkey GROUP BY 1')
+add("preload_with_deleted", lambda s: Query(SoftCustomer).select("CustKey").preload("Orders", with_deleted=True).df(s).select("CustKey", F.size("Orders").cast("long").alias("N")), 'SELECT c_custkey AS "CustKey", count(o_orderkey) AS "N" FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1')
+
+# Vectors: other dimensions, names, and search that may be approximate
+add("vector_null_distance", nearest(Embedding, "Vector", [1.0, 2.0], "l2", 5).select("VecID").df, 'SELECT vec_id AS "VecID", CAST(NULL AS DOUBLE) AS "Distance" FROM embeddings ORDER BY vec_id LIMIT 5')
+add("vector_distance_as", lambda s: nearest(Embedding, "Vector", PROBE, "l2", 10).select("VecID").distance_as("Far").df(s).select("VecID", F.round("Far", 6).alias("Far")), f'SELECT vec_id AS "VecID", round(list_distance(CAST(embedding AS DOUBLE[]), {LITERAL}), 6) AS "Far" FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), {LITERAL}), vec_id LIMIT 10')
+add("vector_approximate", lambda s: rounded6(nearest(Embedding, "Vector", PROBE, "l2", 10).approximate().select("VecID").df(s)), f'SELECT vec_id AS "VecID", round(list_distance(CAST(embedding AS DOUBLE[]), {LITERAL}), 6) AS "Distance" FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), {LITERAL}), vec_id LIMIT 10')
+
+# More mutations
+MORE = tuple(NEW[1] | {"OrderKey": 20_000_000 + i, "CustKey": i} for i in range(50))
+MORE_ROWS = "SELECT 20000000 + range, range, 'N', 2.5, TIMESTAMP '2001-02-04', NULL FROM range(50)"
+add("insert_many", lambda s: Insert(Order, MORE).apply(s.table("orders")), f"SELECT * FROM orders UNION ALL {MORE_ROWS}")
+add("upsert_repeated", lambda s: Upsert(Order, (NEW[0] | {"Status": "A"}, NEW[1] | {"Status": "B"}, *NEW)).apply(s.table("orders")), f"SELECT * FROM orders WHERE o_orderkey <> 5 UNION ALL {ROW1} UNION ALL {ROW2}")
+add("upsert_many", lambda s: Upsert(Order, (*MORE, *NEW, NEW[0] | {"OrderKey": 7})).apply(s.table("orders")), f"SELECT * FROM orders WHERE o_orderkey NOT IN (5, 7) UNION ALL {ROW1} UNION ALL {ROW1.replace('5,', '7,', 1)} UNION ALL {ROW2} UNION ALL {MORE_ROWS}")
+add("update", lambda s: Update(Order, {"OrderKey": 3, "Status": "X"}, "Status").apply(s.table("orders")), "SELECT * REPLACE (CASE o_orderkey WHEN 3 THEN 'X' ELSE o_orderstatus END AS o_orderstatus) FROM orders")
+add("delete", lambda s: Delete(Order, {"OrderKey": 3}).apply(s.table("orders")), "SELECT * FROM orders WHERE o_orderkey <> 3")
+add("soft_delete_now", lambda s: DeleteWhere(SoftOrder).where(LessThan("OrderKey", 500)).apply(s.table("soft_orders")).select("o_orderkey", F.col("deleted_at").isNotNull().alias("gone")), "SELECT o_orderkey, deleted_at IS NOT NULL OR o_orderkey < 500 AS gone FROM soft_orders", SOFT)
+Trip = Model("Trip", "orders", [Column("OrderKey", "o_orderkey", pk=True), Column("CustKey", "o_custkey", pk=True)], [many_to_many("Suppliers", Supplier, Junction("trips", ("t_order", "t_cust"), ("t_supp",)))])
+TRIPS = "trips AS (SELECT DISTINCT l_orderkey AS t_order, o_custkey AS t_cust, l_suppkey AS t_supp FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+trips = lambda s: s.table("lineitem").join(s.table("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_orderkey").alias("t_order"), F.col("o_custkey").alias("t_cust"), F.col("l_suppkey").alias("t_supp")).distinct()
+add("composite_key_add", lambda s: Links(Trip, "Suppliers").add(trips(s), CompositeKey(1, 900_000), [900_001, 900_002]), "SELECT * FROM trips UNION ALL SELECT 1, 900000, 900001 UNION ALL SELECT 1, 900000, 900002", TRIPS)
+add("composite_key_clear", lambda s: Links(Trip, "Suppliers").clear(trips(s), CompositeKey(1, 1)), "SELECT * FROM trips WHERE NOT (t_order = 1 AND t_cust = 1)", TRIPS)
+
+
+# Analysis of captures, comparison with baselines, rules
+def _statements(s: TableSource) -> DataFrame:
+    """events as statements of several kinds, some without a cost or a fingerprint."""
+    e, kind = s.table("events"), F.col("event_id") % 4
+    return e.select(
+        F.lit("events").alias("capture"), F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM")).alias("scope"), F.lit("Exec").alias("terminal"),
+        F.when(kind == 0, "Query").when(kind == 1, "Insert").when(kind == 2, "Upsert").otherwise("UpdateWhere").alias("operation"),
+        F.when(F.col("event_id") % 50 != 0, F.col("event_type")).alias("fingerprint"), F.when(F.col("event_id") % 20 != 3, F.col("value")).alias("cost"),
+    )
+
+
+STATEMENTS = """st AS (SELECT user_id::VARCHAR || ' ' || strftime(ts, '%Y-%m') AS scope, CASE event_id % 4 WHEN 0 THEN 'Query' WHEN 1 THEN 'Insert' WHEN 2 THEN 'Upsert' ELSE 'UpdateWhere' END AS operation,
+ CASE WHEN event_id % 50 <> 0 THEN event_type END AS fingerprint, CASE WHEN event_id % 20 <> 3 THEN value END AS cost FROM events)"""
+
+
+def _analysis(s: TableSource) -> DataFrame:
+    from .capture import analyze
+
+    return analyze(_statements(s))
+
+
+add(
+    "capture_analysis",
+    _analysis,
+    """SELECT 'RUN001' AS code, scope, CAST(NULL AS VARCHAR) AS fingerprint, count(*) AS n FROM st WHERE fingerprint IS NULL GROUP BY scope
+    UNION ALL SELECT 'RUN003', scope, fingerprint, count(*) FROM st WHERE cost IS NULL AND fingerprint IS NOT NULL GROUP BY scope, fingerprint
+    UNION ALL SELECT CASE WHEN operation = 'Query' THEN 'RUN002' WHEN operation IN ('Insert', 'Upsert') THEN 'RUN004' ELSE 'RUN005' END, scope, fingerprint, count(*) FROM st GROUP BY scope, operation, fingerprint HAVING count(*) >= 2""",
+    STATEMENTS,
+)
+
+
+def _compared(s: TableSource, compared, made, names) -> DataFrame:
+    """Odd users' events, of twice the value, against a baseline of even users' events; clicks are missing from the former."""
+    every = _capture(s).withColumn("user", F.split("scope", " ")[0].cast("long"))
+    before, now = every.where("user % 2 = 0"), every.where("user % 2 = 1 and fingerprint <> 'click'").withColumn("cost", F.col("cost") * 2)
+    found = compared(made(before), now)
+    return found.select("code", *[F.round(c, 4).alias(c) if c in ("mean", "value", "bound") else F.col(c) for c in names])
+
+
+def _costs(s: TableSource) -> DataFrame:
+    from .capture import compare_costs, cost_baseline
+
+    return _compared(s, compare_costs, cost_baseline, ("fingerprint", "mean", "bound"))
+
+
+def _workloads(s: TableSource) -> DataFrame:
+    from .capture import compare_workloads, workload_baseline
+
+    return _compared(s, compare_workloads, workload_baseline, ("capture", "value", "bound"))
+
+
+HALVES = "h AS (SELECT user_id % 2 AS half, user_id::VARCHAR || ' ' || strftime(ts, '%Y-%m-%d') AS scope, event_type AS fingerprint, value * (1 + user_id % 2) AS cost FROM events WHERE user_id % 2 = 0 OR event_type <> 'click')"
+add(
+    "cost_comparison",
+    _costs,
+    """SELECT CASE WHEN n.mean IS NULL THEN 'RU002' ELSE 'RU001' END AS code, b.fingerprint, round(n.mean, 4) AS mean, round(b.bound, 4) AS bound
+    FROM (SELECT fingerprint, greatest(1.30 * avg(cost), max(cost)) AS bound FROM h WHERE half = 0 GROUP BY 1 HAVING count(*) >= 5) b
+    LEFT JOIN (SELECT fingerprint, avg(cost) AS mean FROM h WHERE half = 1 GROUP BY 1 HAVING count(*) >= 5) n USING (fingerprint) WHERE n.mean IS NULL OR n.mean > b.bound""",
+    HALVES,
+)
+add(
+    "workload_comparison",
+    _workloads,
+    """SELECT r.code, 'events' AS capture, round(r.value, 4) AS value, round(r.bound, 4) AS bound FROM (
+      SELECT 'RU003' AS code, avg(CASE WHEN half = 1 THEN c END) AS value, greatest(1.30 * avg(CASE WHEN half = 0 THEN c END), max(CASE WHEN half = 0 THEN c END)) AS bound FROM w
+      UNION ALL SELECT 'RU004', avg(CASE WHEN half = 1 THEN n END), greatest(1.30 * avg(CASE WHEN half = 0 THEN n END), max(CASE WHEN half = 0 THEN n END)) FROM w) r WHERE r.value > r.bound""",
+    HALVES,
+    "w AS (SELECT half, scope, sum(cost) AS c, count(*) AS n FROM h GROUP BY 1, 2)",
+)
+
+
+def _references(s: TableSource) -> DataFrame:
+    from ..schema.audit import audit
+
+    few = Model("Few", "few_customers", Customer.fields)
+    models = [
+        Model("Orphaned", "orders", Order.fields, [belongs_to("Customer", few, ("CustKey",), ("CustKey",))]),
+        Model("Missing", "orders", [*Order.fields, Column("Nowhere", "o_nowhere")], [belongs_to("Customer", Customer, ("Nowhere",), ("CustKey",))]),
+        Model("Typed", "customer", Customer.fields, [belongs_to("Other", Customer, ("NationKey",), ("CustKey",))]),
+        Model("Loose", "customer", Customer.fields, [belongs_to("Some", Customer, ("NationKey",), ("NationKey",))]),
+        Model("Unresolved", "orders", Order.fields, [belongs_to("Nothing", Customer)]),
+    ]
+    return frame(s, [(d.code, d.subject) for d in audit(models, s)], "code string, subject string")
+
+
+add("reference_rules", _references, "SELECT * FROM (VALUES ('REF005', 'Orphaned.Customer'), ('REF002', 'Missing.Customer'), ('REF003', 'Typed.Other'), ('REF004', 'Loose.Some'), ('REF001', 'Unresolved.Nothing')) AS t(code, subject) UNION ALL SELECT 'REF005', 'Typed.Other' WHERE EXISTS (SELECT 1 FROM customer c WHERE NOT EXISTS (SELECT 1 FROM customer p WHERE p.c_custkey = c.c_nationkey))")
+
+
+def _rules(s: TableSource) -> DataFrame:
+    from ..schema import checks
+    from ..schema.ddl import parse
+
+    catalog = parse("CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT NOT NULL, o_orderstatus TEXT NOT NULL, o_totalprice DOUBLE NOT NULL, o_orderdate DATETIME(6), o_orderpriority TEXT, KEY k (o_orderstatus, o_orderkey))")
+    page = O.order_by(Asc("OrderKey")).limit(5)
+    found = {
+        "schema": checks.check_schema(Order, catalog),
+        "paged": checks.check_query(O.where(Contains("Status", "x")).limit(5).offset(2)),
+        "fallback": checks.check_query(page.where(Has("Lines", Equal("SuppKey", 8)))),
+        "served": checks.check_index(page.where(Equal("Status", "F")), catalog),
+        "unserved": checks.check_index(page.where(Equal("CustKey", 1)), catalog),
+        "range": checks.check_index(page.where(GreaterThan("TotalPrice", 1.0)), catalog),
+        "update": checks.check_mutation(UpdateWhere(Order, (Set("Priority", "x"),)).where(Equal("CustKey", 1)), catalog),
+        "update_many": checks.check_mutation(UpdateMany(Customer, ({"CustKey": 1},), ("Name",)), catalog),
+    }
+    return frame(s, [(on, d.code, d.subject) for on, all_ in found.items() for d in all_], "checked string, code string, subject string")
+
+
+add(
+    "model_rules",
+    _rules,
+    """SELECT * FROM (VALUES ('schema', 'CMP005', 'Order.OrderDate'), ('schema', 'CMP002', 'Order.Customer'), ('schema', 'CMP002', 'Order.Lines'), ('schema', 'CMP002', 'Order.SupplierLinks'), ('schema', 'CMP002', 'Order.Suppliers'),
+    ('paged', 'QRY002', 'Order'), ('paged', 'QRY003', 'Order'), ('paged', 'QRY004', 'Order'), ('fallback', 'QRY005', 'Order'), ('unserved', 'QRY006', 'Order'), ('update', 'QRY008', 'Order'), ('update_many', 'QRY009', 'Customer')) AS t(checked, code, subject)""",
+)

@@ -114,6 +114,25 @@ def association(p: Existence, model: Model, source: TableSource) -> tuple[DataFr
     return df.where(conjunction([*conditions, *[c.isNotNull() for c in columns]])), columns
 
 
+def association_access(query: Query) -> dict | None:
+    """Table, equality columns and root-key columns that a rewritten top-N reads; None if its parts aren't all equalities."""
+    from .shape import _equalities
+
+    p = query.predicates[0]
+    assert isinstance(p, Existence)
+    keys = query.model.resolve(p.relation)
+    equal = _equalities(keys.target, p.parts)
+    if equal is None:
+        return None
+    if keys.direct:
+        gone = keys.target.soft_delete
+        found = {"table": keys.target.table, "equal": equal, "order": [b for _, b in keys.direct]}
+    else:
+        gone = keys.edge.soft_delete if keys.edge else None
+        found = {"table": keys.edge_table, "equal": [a for a, _ in keys.far], "order": [b for _, b in keys.near]}
+    return found | {"equal": [*found["equal"], *([gone.column] if gone and gone.column not in found["equal"] else [])]}
+
+
 def relation_top_n(query: Query, source: TableSource, scope: Scope) -> DataFrame | None:
     if top_n_reason(query) != "":
         return None

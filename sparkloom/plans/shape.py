@@ -26,9 +26,9 @@ def query_shape(q) -> dict:
     """A canonical description without values; limits and offsets are only present or absent."""
     kind = type(q).__name__
     shape: dict[str, Any] = {"operation": kind, "model": q.model.name, "table": q.model.table}
-    for name in ("fields", "grouped", "assigned"):
+    for name in ("fields", "grouped", "assigned", "added", "field", "metric", "distance_name", "relation"):
         if getattr(q, name, ()):
-            shape[name] = list(getattr(q, name))
+            shape[name] = x if isinstance(x := getattr(q, name), str) else list(x)
     if getattr(q, "predicates", ()):
         shape["where"] = [predicate_shape(p) for p in q.predicates]
     if getattr(q, "having_", ()):
@@ -41,7 +41,7 @@ def query_shape(q) -> dict:
         shape["order"] = _orders(q.orders)
     if getattr(q, "preloads", ()):
         shape["preload"] = [[p.path, list(p.fields), _orders(p.order_by), p.with_deleted] for p in q.preloads]
-    flags = [n for n, on in (("limit", getattr(q, "limited", None) is not None), ("offset", bool(getattr(q, "skipped", 0))), ("seek", getattr(q, "cursor", None) is not None), ("deleted", getattr(q, "deleted", False))) if on]
+    flags = [n for n, on in (("limit", getattr(q, "limited", None) is not None), ("offset", bool(getattr(q, "skipped", 0))), ("seek", getattr(q, "cursor", None) is not None), ("deleted", getattr(q, "deleted", False)), ("approximate", getattr(q, "approximate_", False))) if on]
     if flags:
         shape["flags"] = flags
     policy = getattr(q, "policy", None)
@@ -58,11 +58,40 @@ def arguments(q) -> tuple:
     return tuple(v for p in getattr(q, "predicates", ()) for x in walk(p) if isinstance(x, Comparison) for v in x.values)
 
 
+def _equalities(model, parts) -> list[str] | None:
+    """Columns that conjunctive Equal predicates fix; None if there is any other predicate."""
+    out: list[str] = []
+    for p in parts:
+        if isinstance(p, Logical) and p.op == "and":
+            found = _equalities(model, p.parts)
+        elif isinstance(p, Comparison) and p.op == "=":
+            found = [model.field(p.field).column]
+        else:
+            found = None
+        if found is None:
+            return None
+        out += [c for c in found if c not in out]
+    return out
+
+
 def ordered_access(q) -> dict | None:
-    """Equality fields and then one direction of ordering, if the query reads so; decides index advice."""
-    from .rewrite import fixed_fields
+    """The table, equality columns and ordered columns that a limited query reads in one direction; decides index advice.
+
+    None where an index can't give just those rows: another order, other predicates, or a columnar read. A relation top-N that is
+    rewritten reads the association instead of the root.
+    """
+    from .rewrite import association_access, top_n_reason
 
     orders = getattr(q, "orders", ())
-    if not orders or len({o.descending for o in orders}) > 1:
+    if not orders or len({o.descending for o in orders}) > 1 or not q.limited or q.policy.engine == "columnar":
+        return None
+    if top_n_reason(q) == "" and q.rewrites:
+        found = association_access(q)
+    elif any(isinstance(x, Existence) for p in q.predicates for x in walk(p)):
         return None
-    return {"table": q.model.table, "equal": sorted(fixed_fields(q.predicates)), "order": [o.name for o in orders], "descending": orders[0].descending}
+    else:
+        equal = _equalities(q.model, q.predicates)
+        if equal is not None and q.model.soft_delete and not q.deleted:
+            equal = [*equal, *[c for c in [q.model.soft_delete.column] if c not in equal]]
+        found = None if equal is None else {"table": q.model.table, "equal": equal, "order": [q.model.field(o.name).column for o in orders]}
+    return None if found is None else found | {"descending": orders[0].descending}
