@@ -13,11 +13,12 @@ from ..operators.demo import Customer, Document, Embedding, Event, Nation, Order
 from ..operators.model import Field as Column
 from ..operators.model import Junction, Model, belongs_to, many_to_many
 from ..operators.mutation import CompositeKey, Delete, DeleteWhere, Increment, Insert, Links, Set, Update, UpdateMany, UpdateWhere, Upsert
-from ..operators.nearest import nearest
+from ..operators.nearest import build_vector_index, nearest
 from ..operators.order import Asc, Desc
 from ..operators.predicate import And, Between, Contains, Equal, GreaterThan, GreaterThanOrEqual, Has, HasPrefix, HasSuffix, In, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, NotEqual, NotIn, Or
 from ..operators.raw import Raw
 from ..operators.select import Query
+from ..sources.store import new_folder
 from ..sources.tables import TableSource
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -326,6 +327,40 @@ add("vector_null_distance", nearest(Embedding, "Vector", [1.0, 2.0], "l2", 5).se
 add("vector_distance_as", lambda s: nearest(Embedding, "Vector", PROBE, "l2", 10).select("VecID").distance_as("Far").df(s).select("VecID", F.round("Far", 6).alias("Far")), f'SELECT vec_id AS "VecID", round(list_distance(CAST(embedding AS DOUBLE[]), {LITERAL}), 6) AS "Far" FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), {LITERAL}), vec_id LIMIT 10')
 add("vector_approximate", lambda s: rounded6(nearest(Embedding, "Vector", PROBE, "l2", 10).approximate().select("VecID").df(s)), f'SELECT vec_id AS "VecID", round(list_distance(CAST(embedding AS DOUBLE[]), {LITERAL}), 6) AS "Distance" FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), {LITERAL}), vec_id LIMIT 10')
 
+def _indexed(s: TableSource, metric: str) -> DataFrame:
+    """Every cell of a built index is probed: the answer is the exact one, and rows come back by way of the cells."""
+    from ..operators.vector_index import MOST_CELLS
+
+    index = build_vector_index(Embedding, "Vector", metric, s, new_folder(s.spark, "vector-index"))
+    return rounded6(nearest(Embedding, "Vector", PROBE, metric, 10).approximate(index, MOST_CELLS).where(NotEqual("Label", 3)).select("VecID").df(s))
+
+
+add("vector_indexed", lambda s: _indexed(s, "l2"), f'SELECT vec_id AS "VecID", round(list_distance(CAST(embedding AS DOUBLE[]), {LITERAL}), 6) AS "Distance" FROM embeddings WHERE label <> 3 ORDER BY 2, 1 LIMIT 10')
+add("vector_indexed_cosine", lambda s: _indexed(s, "cosine"), f'SELECT vec_id AS "VecID", round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), {LITERAL}), 6) AS "Distance" FROM embeddings WHERE label <> 3 ORDER BY 2, 1 LIMIT 10')
+
+
+def _migrated(s: TableSource) -> DataFrame:
+    """States of a record after a baseline, two steps up and one down."""
+    from ..schema.migrate import Migration, Runner
+
+    runner = Runner.of(s.spark, [Migration(v, n, f"SELECT {v}", f"SELECT -{v}") for v, n in enumerate(("first", "second", "third", "fourth"), 1)], new_folder(s.spark, "migrations"))
+    runner.baseline(1)
+    runner.up(3)
+    runner.down()
+    return frame(s, runner.status(), "version int, name string, state string")
+
+
+add("migration_status", _migrated, "SELECT * FROM (VALUES (1, 'first', 'applied'), (2, 'second', 'applied'), (3, 'third', 'pending'), (4, 'fourth', 'pending')) AS t(version, name, state)")
+
+
+def _places(s: TableSource) -> DataFrame:
+    """What the scans of a plan with relations read."""
+    q = Query(Order).where(Has("Lines", Equal("ReturnFlag", "R"))).select("OrderKey").preload("Customer")
+    return frame(s, sorted({(n.table, n.model, n.relation) for n in q.explain(s).walk() if n.table}), "table string, model string, relation string")
+
+
+add("plan_places", _places, "SELECT * FROM (VALUES ('orders', 'Order', ''), ('lineitem', 'Line', 'Lines'), ('customer', 'Customer', 'Customer')) AS t(\"table\", model, relation)")
+
 # More mutations
 MORE = tuple(NEW[1] | {"OrderKey": 20_000_000 + i, "CustKey": i} for i in range(50))
 MORE_ROWS = "SELECT 20000000 + range, range, 'N', 2.5, TIMESTAMP '2001-02-04', NULL FROM range(50)"

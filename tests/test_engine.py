@@ -1,10 +1,13 @@
 """Builders, rewrites, mutations, plans, capture, schema rules: validation comes before any job."""
 
 import json
+import math
 from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sparkloom.errors import BuildError, Conflict, DuplicateKey, ModelError, MultipleRows, NoRows, SparkloomError
@@ -15,7 +18,7 @@ from sparkloom.operators.model import Field, Junction, Model, belongs_to, has_ma
 from sparkloom.operators.mutation import Delete, DeleteWhere, Increment, Insert, Links, Set, UpdateMany, UpdateWhere, Upsert
 from sparkloom.operators.nearest import nearest
 from sparkloom.operators.order import Asc, Desc
-from sparkloom.operators.predicate import And, Contains, Equal, GreaterThan, Has, In, LessThan, Not, Or
+from sparkloom.operators.predicate import And, Contains, Equal, GreaterThan, Has, In, IsNotNull, LessThan, Not, Or
 from sparkloom.operators.select import Query
 from sparkloom.plans import capture as C
 from sparkloom.plans.compare import compare
@@ -406,3 +409,89 @@ def test_migrations(spark, tmp_path):
     (tmp_path / "0002_b.up.sql").write_text("SELECT 1")
     with pytest.raises(SparkloomError):
         migrate.load(tmp_path)
+
+
+def test_migration_runner(spark, tmp_path):
+    files, record = tmp_path / "files", str(tmp_path / "record")
+    files.mkdir()
+    for v, up in enumerate(("SELECT 1", "CREATE OR REPLACE TEMP VIEW mig_b AS SELECT 2 AS n", "SELECT * FROM mig_nowhere"), 1):
+        (files / f"000{v}_m.up.sql").write_text(up)
+        (files / f"000{v}_m.down.sql").write_text("DROP VIEW mig_b" if v == 2 else "SELECT 0")
+    runner = migrate.Runner(spark, files, record)
+    with pytest.raises(SparkloomError):
+        runner.baseline(7)
+    assert runner.baseline(1) == [1] and runner.up(2) == [2] and spark.table("mig_b").collect()[0].n == 2
+    with pytest.raises(SparkloomError):
+        runner.baseline(1)
+    with pytest.raises(AnalysisException):
+        runner.up()
+    # another runner sees the mark and doesn't run
+    other = migrate.Runner(spark, files, record)
+    assert [x[2] for x in other.status()] == ["applied", "applied", "running up"]
+    with pytest.raises(SparkloomError):
+        other.up()
+    other.resolve(3, applied=False)
+    with pytest.raises(SparkloomError):
+        other.resolve(3, applied=False)
+    assert other.down() == [2] and [x[2] for x in runner.status()] == ["applied", "pending", "pending"]
+    (files / "0001_m.up.sql").write_text("SELECT 9")
+    changed = migrate.Runner(spark, files, record)
+    assert changed.status()[0][2] == "changed"
+    with pytest.raises(SparkloomError):
+        changed.up()
+    number = runner.store.commit_number()
+    runner._advance(number, {})
+    with pytest.raises(Conflict):
+        other._advance(number, {})
+
+
+def test_migration_lint():
+    M = migrate.Migration
+    found = migrate.lint([M(1, "a", "-- nothing", "SELECT 1"), M(2, "b", "DROP TABLE t; DELETE FROM t; DELETE FROM t WHERE a = 1; ALTER TABLE t DROP COLUMN c", "SELECT 1"), M(4, "c", "SELECT 1", "")])
+    assert [(d.code, d.subject) for d in found] == [("MIG101", "1_a"), ("MIG102", "2_b"), ("MIG102", "2_b"), ("MIG102", "2_b"), ("MIG103", "4_c"), ("MIG104", "4_c")]
+
+
+def test_plan_places(tables):
+    q = O.where(Not(Has("Lines", Has("Part", Equal("Size", 3))))).select("OrderKey")
+    scans = {(n.model, n.relation) for n in q.explain(tables).walk() if n.table}
+    assert scans == {("Order", ""), ("Line", "Lines"), ("Part", "Lines.Part")}
+    run = A.Aggregate(Order).select(A.Field("Customer.Segment").As("Segment"), A.CountAll().As("N")).group_by("Segment").explain_analyze(tables)
+    assert {(n.model, n.relation) for n in run.root.walk() if n.table} == {("Order", ""), ("Customer", "Customer")}
+    # a table that is read at two places: the scan's relation isn't known
+    peer = Model("Peer", "customer", Customer.fields, [belongs_to("Other", lambda: peer, ("NationKey",), ("CustKey",))])
+    assert {(n.model, n.relation) for n in Query(peer).where(Has("Other")).explain(tables).walk() if n.table} == {("Peer", None)}
+
+
+def test_vector_index(spark, tmp_path):
+    from sparkloom.operators.nearest import build_vector_index, nearest
+    from sparkloom.operators.vector_index import MOST_CELLS
+
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(30, 8)) * 4
+    vectors = [(middles[i % 30] + rng.normal(size=8) * 0.5).tolist() for i in range(1200)]
+    # a third of the rows are one vector; null, empty, short, partly null and non-finite ones have no cell
+    odd = [None, [], [1.0], [None] + [0.0] * 7, [math.nan] * 8, [math.inf] + [0.0] * 7, [0.0] * 8]
+    rows = [(i, v, i % 10) for i, v in enumerate([*vectors, *[vectors[0]] * 600, *odd])]
+    schema = "vec_id long, embedding array<float>, label int"
+    source = TableSource(spark, None, {"embeddings": spark.createDataFrame(rows, schema), "customer": spark.range(1)})
+    for metric in ("l2", "cosine"):
+        index = build_vector_index(Embedding, "Vector", metric, source, str(tmp_path / metric))
+        assert spark.read.parquet(f"{index.folder}/rows").count() == len(rows)
+        hit = 0
+        for at in (1, 500):
+            q = nearest(Embedding, "Vector", vectors[at], metric, 15).where(IsNotNull("Vector"), LessThan("VecID", 1200)).select("VecID")
+            exact, near = q.all(source), q.approximate(index).all(source)
+            assert q.approximate(index, MOST_CELLS).all(source)[0].Distance == exact[0].Distance
+            hit += len({r.VecID for r in exact} & {r.VecID for r in near})
+        assert hit >= 0.9 * 2 * 15
+        plan = q.approximate(index).df(source)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [vector_cell" in plan and q.approximate(index).index_usage() == "used"
+        short = nearest(Embedding, "Vector", [1.0], metric, 5).select("VecID")
+        assert sorted(r.Distance for r in short.approximate(index).all(source) if r.Distance is not None) == sorted(r.Distance for r in short.all(source) if r.Distance is not None)
+    q = nearest(Embedding, "Vector", vectors[0], "l2", 3)
+    assert [d.code for d in q.approximate().diagnostics()] == ["VEC003"] and q.approximate(build_vector_index(Embedding, "Vector", "l2", source, str(tmp_path / "l"))).diagnostics() == []
+    for wrong in (index, build_vector_index(Embedding, "Vector", "l2")):
+        with pytest.raises(BuildError):
+            q.approximate(wrong).validate()
+    none = TableSource(spark, None, {"embeddings": spark.createDataFrame([], schema)})
+    assert q.approximate(build_vector_index(Embedding, "Vector", "l2", none, str(tmp_path / "none"))).all(none) == []
