@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, packing, simhash_similarity, substring, toxicity
-from sparkloom.llm.common import new_folder, settle, table
+from sparkloom.llm.common import free_shuffles, give_back, new_folder, settle, table
 
 #: SQL can't express the trained, hashed and tokenised stages; tests/llm compares them with brute force.
 ORACLE_SQL = None
@@ -19,7 +19,9 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score is 0.3 or more. The model is fitted on documents of this stage and their labels."""
+    free_shuffles(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    give_back(spark)  # the sample's texts and words
     rejected = toxicity.score(docs, model).where((F.col("score") >= 0.3) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     return docs.join(settle(rejected), "doc_id", "left_anti").select(*docs.columns)
 
@@ -29,6 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Groups are linked by a similarity (cosine) of 0.8 or more of five-word shingle sets, which is checked exactly.
     """
+    free_shuffles(spark)
     groups = simhash_similarity.near_duplicates(docs, similarity=0.8, words_in_shingle=5)
     copies = settle(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
@@ -40,8 +43,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that loses words continues as its kept words joined by one space, and one of which
     nothing is left goes.
     """
+    free_shuffles(spark)  # the near-duplicate stage before has run hundreds of jobs
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = substring.remove_repeats(docs, carry=("text", *others)).where("n_removed = 0 or kept_text <> ''")
+    give_back(spark)  # copies of the sketch
     lost = F.col("n_removed") > 0
     changed = {"doc_id": F.col("doc_id"), "text": F.when(lost, F.col("kept_text")).otherwise(F.col("row.text"))}
     if "n_chars" in others:
@@ -51,11 +56,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    free_shuffles(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the remaining texts into sequences of 2048 tokens."""
+    free_shuffles(spark)
     return packing.pack(docs)
 
 

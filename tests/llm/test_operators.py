@@ -1,8 +1,11 @@
 """Each operator against brute force, and on nulls, empty tables, ties, repeats, long texts and clashing columns."""
 
 import base64
+import ctypes
+import gc
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -12,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sparkloom.llm import ann, decontam, packing, quality, simhash, simhash_similarity, substring, tokencount, toxicity, warc
+from sparkloom.llm.common import free_shuffles
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.tokenization import default_path, encoder, version_digest
 
@@ -589,3 +593,30 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert decontam.common_subsequence(a, b) == t[-1][-1]
+
+
+def resident_mb(pid):
+    return next(int(x.split()[1]) for x in open(f"/proc/{pid}/status") if x.startswith("VmRSS")) / 1024
+
+
+def test_the_driver_returns_what_it_has_freed(spark):
+    libc, size, n = ctypes.CDLL(None), 1 << 16, 1600
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    taken = [libc.malloc(size) for _ in range(n)]
+    for x in taken:
+        ctypes.memset(x, 1, size)
+    for x in taken[:-1]:  # the last one holds what lies below it
+        libc.free(x)
+    jvm, held = spark._jvm, [spark._jvm.java.nio.ByteBuffer.allocateDirect(size) for _ in range(n)]
+    last, pid = held.pop(), jvm.java.lang.ProcessHandle.current().pid()
+    del held
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
+    before = {p: resident_mb(p) for p in ("self", pid)}
+    free_shuffles(spark)
+    after = {p: resident_mb(p) for p in before}
+    libc.free(taken[-1])
+    assert last.capacity() == size
+    assert all(before[p] - after[p] > 50 for p in before), (before, after)
