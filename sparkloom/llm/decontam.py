@@ -12,8 +12,8 @@
    Beside it, a passage with half of an item passage's rarest words is a candidate too, whatever their frequency
    and the corpus's size: of the two passages around an exact copy one has that many.
 4. A candidate is confirmed by the longest common subsequence of the item's words and the words around
-   the passage, and by an answer check: most of the item's rarest words must be there. Both allow
-   for words that were changed, dropped or added.
+   the passage, and by an answer check: enough of the item's rarest words must be there, of those that
+   some document has. Both allow for words that were changed, dropped or added.
 """
 
 from __future__ import annotations
@@ -176,7 +176,8 @@ def build_index(items: DataFrame, frequencies: dict[str, int], n_docs: int, sett
             z = value @ vectors[at]
             folded.append(z / max(1e-12, float(np.linalg.norm(z))))
             owner.append(i)
-    rarest = lambda words: sorted(set(words), key=lambda w: (frequencies.get(w, 0), w))[: settings.answer_words]
+    # words that no document has come last: they tell no document from another, and in a paraphrase they are the changed ones
+    rarest = lambda words: sorted(set(words), key=lambda w: (not frequencies.get(w), frequencies.get(w, 0), w))[: settings.answer_words]
     answers = [frozenset(rarest([w for w in words if w in kept] or words)) for _, words in listed]
     keys = [[place[w] for w in rarest(words[s:e])] for _, words in listed for s, e in passages(len(words))]
     keyed = np.array(sorted((x, i) for i, k in enumerate(keys) for x in k), np.int64)

@@ -580,6 +580,14 @@ def test_paraphrases_are_found(spark, data):
     assert sum((i, item) in found for i, (item, _) in enumerate(items)) >= 0.95 * len(items)
 
 
+def test_words_that_no_document_has_are_no_answers(spark):
+    item = [f"item{i}" for i in range(40)]
+    # a changed word is rarer than all that were kept: no document has it
+    changed = " ".join(f"other{i}" if i % 4 == 0 else w for i, w in enumerate(item))
+    docs = spark.createDataFrame([(1, changed), *((i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(2, 9))], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()] == [(1, 5)]
+
+
 def test_decontamination_without_items(spark, odd):
     assert decontam.contaminated(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
