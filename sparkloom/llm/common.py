@@ -72,7 +72,7 @@ def give_back(spark: SparkSession) -> None:
     """Returns what the driver's two processes have freed to the system.
 
     malloc keeps freed pages, in the JVM in an arena for each of up to eight threads a core: after some hundred jobs that is
-    more than is in use. Where the C library or the JVM (before 17.0.9) can't return them, nothing happens.
+    more than is in use. Where the C library or the JVM can't return them, nothing happens.
     """
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
