@@ -357,15 +357,16 @@ class Links:
         if not targets:
             return df
         new = self._pairs(df, source, targets)
+        known = df.join(F.broadcast(new), [*near, *far], "left_semi")  # the few pairs move, not the junction
         if ignore_existing:
-            new = new.distinct().join(df, [*near, *far], "left_anti")
-        elif new.distinct().count() < len(targets) or df.join(new, [*near, *far], "left_semi").limit(1).count():
+            new = new.distinct().join(F.broadcast(known.select(*near, *far).distinct()), [*near, *far], "left_anti")
+        elif new.distinct().count() < len(targets) or known.limit(1).count():
             raise DuplicateKey(f"{self.model.name}.{self.relation}")
         return df.unionByName(new)
 
     def remove(self, df: DataFrame, source, targets: Sequence) -> DataFrame:
         near, far = self._junction()
-        return df.join(self._pairs(df, source, targets), [*near, *far], "left_anti").select(*df.columns) if targets else df
+        return df.join(F.broadcast(self._pairs(df, source, targets)), [*near, *far], "left_anti").select(*df.columns) if targets else df
 
     def clear(self, df: DataFrame, source) -> DataFrame:
         near, _ = self._junction()

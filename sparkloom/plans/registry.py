@@ -19,7 +19,7 @@ from ..operators.predicate import And, Between, Contains, Equal, GreaterThan, Gr
 from ..operators.raw import Raw
 from ..operators.select import Query
 from ..sources.store import new_folder
-from ..sources.tables import TableSource
+from ..sources.tables import TableSource, dealt, shares
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -38,7 +38,7 @@ def source(spark: SparkSession, sf_dir: str) -> TableSource:
         spark,
         sf_dir,
         {
-            "order_supplier": lambda s: s.table("lineitem").select("l_orderkey", "l_suppkey").distinct(),
+            "order_supplier": lambda s: dealt(line := s.table("lineitem"), shares(line), "l_orderkey", "l_suppkey").select("l_orderkey", "l_suppkey").distinct(),
             "soft_orders": lambda s: s.table("orders").withColumn("deleted_at", F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate"))),
             "nulled": lambda s: s.table("orders").withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW"))),
             "signed": lambda s: s.table("customer").withColumn("c_name", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("50%_!"), "c_name")).otherwise(F.col("c_name"))),

@@ -7,6 +7,29 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Stored bytes of tables whose rows make up a task's share, and the most shares.
+SHARE_BYTES, MOST_SHARES = 8 << 20, 20_000
+
+
+def shares(*tables: DataFrame) -> int | None:
+    """Into how many partitions the tables' rows are dealt by key, so that a task's share doesn't grow with them; None where Spark doesn't know a size.
+
+    A session's number of shuffle partitions is fixed, and partitions are coalesced by their compressed bytes, of which keys take few."""
+    spark, size = tables[0].sparkSession, 0
+    unknown = spark._jsparkSession.sessionState().conf().defaultSizeInBytes()
+    for t in tables:
+        leaves = t._jdf.queryExecution().optimizedPlan().collectLeaves()
+        for i in range(leaves.size()):
+            found = int(str(leaves.apply(i).stats().sizeInBytes()))
+            if found >= unknown:
+                return None
+            size += found
+    return min(max(spark.sparkContext.defaultParallelism, -(-size // SHARE_BYTES)), MOST_SHARES)
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    return df.repartition(n, *keys) if n else df
+
 
 @dataclass(frozen=True)
 class TableSource:

@@ -30,7 +30,7 @@ from sparkloom.plans.shape import fingerprint, query_shape
 from sparkloom.schema import checks, ddl, migrate
 from sparkloom.schema.audit import audit
 from sparkloom.sources.store import VersionedStore
-from sparkloom.sources.tables import TableSource
+from sparkloom.sources.tables import TableSource, shares
 
 
 @pytest.fixture(scope="module")
@@ -226,6 +226,33 @@ def test_mutations(spark, tables):
     assert links.add(pairs, 1, [2, 3], ignore_existing=True).count() == 3
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_look_up_the_given_pairs_without_moving_the_junction(spark):
+    links = Links(Model("M", "m", [Field("ID", pk=True)], [many_to_many("Rs", Model("R", "r", [Field("ID", pk=True)]), Junction("mr", ("m_id",), ("r_id",)))]), "Rs")
+    df = spark.createDataFrame([(1, 1), (1, 1), (1, None), (2, 3), (None, 2)], "m_id int, r_id int")
+    for state, expected in (
+        (links.add(df, 1, [1, 2, 2], ignore_existing=True), [(None, 2), (1, None), (1, 1), (1, 1), (1, 2), (2, 3)]),
+        (links.add(df, 2, [4], ignore_existing=False), [(None, 2), (1, None), (1, 1), (1, 1), (2, 3), (2, 4)]),
+        (links.remove(df, 1, [1, 2]), [(None, 2), (1, None), (2, 3)]),
+    ):
+        assert sorted((tuple(r) for r in state.collect()), key=str) == sorted(expected, key=str)
+        assert "SortMergeJoin" not in _plan(state) and "ShuffledHashJoin" not in _plan(state)
+    with pytest.raises(DuplicateKey):
+        links.add(df, 2, [3])
+
+
+def test_a_task_takes_as_many_junction_rows_whatever_the_size(spark, tables, monkeypatch):
+    parts = lambda: tables.table("order_supplier").rdd.getNumPartitions()
+    few = parts()
+    monkeypatch.setattr("sparkloom.sources.tables.SHARE_BYTES", 2000)
+    assert few == spark.sparkContext.defaultParallelism and parts() >= 20
+    assert tables.table("order_supplier").count() == tables.table("lineitem").select("l_orderkey", "l_suppkey").distinct().count()
+    assert shares(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) is None
+
+
 def test_store_and_transaction(spark, tmp_path):
     m = Model("M", "m", [Field("ID", pk=True), Field("N", nullable=True)])
     store = VersionedStore(spark, str(tmp_path))
