@@ -253,6 +253,22 @@ def test_a_task_takes_as_many_junction_rows_whatever_the_size(spark, tables, mon
     assert shares(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) is None
 
 
+@pytest.mark.parametrize("name", ["composite_key_add"])
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_a_task_takes_as_many_trips_whatever_the_size(spark, data, monkeypatch, name, broadcast):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        expected = sorted(QUERIES[name](spark, data).collect())
+        monkeypatch.setattr("sparkloom.sources.tables.SHARE_BYTES", 2000)
+        df = QUERIES[name](spark, data)
+        assert sorted(df.collect()) == expected
+        assert "ENSURE_REQUIREMENTS" not in _plan(df)
+        assert df.rdd.getNumPartitions() >= 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_store_and_transaction(spark, tmp_path):
     m = Model("M", "m", [Field("ID", pk=True), Field("N", nullable=True)])
     store = VersionedStore(spark, str(tmp_path))
