@@ -253,7 +253,7 @@ def test_a_task_takes_as_many_junction_rows_whatever_the_size(spark, tables, mon
     assert shares(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) is None
 
 
-@pytest.mark.parametrize("name", ["composite_key_add"])
+@pytest.mark.parametrize("name", ["composite_key_add", "composite_key_clear"])
 @pytest.mark.parametrize("broadcast", ["-1", "10m"])
 def test_a_task_takes_as_many_trips_whatever_the_size(spark, data, monkeypatch, name, broadcast):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
